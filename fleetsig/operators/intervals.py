@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetsig.functions.times import DAY, day_of, elapsed, micros, whole
-from fleetsig.operators.timeline import SLICE, neighbours, running, slice_of, slice_start, slice_width
+from fleetsig.operators.timeline import SLICE, neighbours, running, slice_of, slice_start, slice_width, sliced
 
 
 def change_points(sig: DataFrame, key: Sequence[str], ts: str, value: str) -> DataFrame:
@@ -21,8 +21,7 @@ def change_points(sig: DataFrame, key: Sequence[str], ts: str, value: str) -> Da
     group = [*key, SLICE]
     inside = Window.partitionBy(*group).orderBy(ts)
     kept = (
-        sig.select(*key, ts, value)
-        .withColumn(SLICE, slice_of(ts))
+        sliced(sig.select(*key, ts, value), key, ts)
         .withColumns({"_prev": F.lag(value).over(inside), "_first": F.lag(ts).over(inside).isNull()})
         .withColumn("_step", ~F.col("_first") & (~F.col(value).eqNullSafe(F.col("_prev"))))
         .where(F.col("_first") | F.col("_step"))

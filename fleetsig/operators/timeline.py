@@ -10,6 +10,7 @@ or one key's slice summaries, whose number is bounded by the time span and not b
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,7 +28,14 @@ def slice_width() -> int:
 
 
 def slice_of(ts: str | Column) -> Column:
-    return F.floor(micros(ts) / F.lit(slice_width())).cast("long")
+    # never NULL, so a join on it adds no filter that would keep Spark from reusing the shuffle below it
+    return F.coalesce(F.floor(micros(ts) / F.lit(slice_width())).cast("long"), F.lit(0))
+
+
+def sliced(df: DataFrame, key: Sequence[str], ts: str) -> DataFrame:
+    """Rows with their slice; a row without key or time cannot be ordered and is left out."""
+    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*key, ts]])
+    return df.where(present).withColumn(SLICE, slice_of(ts))
 
 
 def slice_start(slice_id: str | Column) -> Column:
@@ -43,16 +51,16 @@ def neighbours(
 ) -> DataFrame:
     """Add columns of the previous and following row of the same key in time order.
 
-    ``prev`` and ``next`` map new column names to existing ones. Key and time must not be NULL.
+    ``prev`` and ``next`` map new column names to existing ones.
     """
     prev, next = dict(prev or {}), dict(next or {})
-    sliced = df.withColumn(SLICE, slice_of(ts))
+    cut = sliced(df, key, ts)
     group = [*key, SLICE]
 
     last = [F.max_by(c, ts).alias(f"_last_{n}") for n, c in prev.items()]
     first = [F.min_by(c, ts).alias(f"_first_{n}") for n, c in next.items()]
     across = Window.partitionBy(*key).orderBy(SLICE)
-    edges = sliced.groupBy(*group).agg(*last, *first).select(
+    edges = cut.groupBy(*group).agg(*last, *first).select(
         *group,
         *[F.lag(f"_last_{n}").over(across).alias(f"_edge_{n}") for n in prev],
         *[F.lead(f"_first_{n}").over(across).alias(f"_edge_{n}") for n in next],
@@ -65,7 +73,7 @@ def neighbours(
         added["_is_first"] = F.lag(ts).over(inside).isNull()
     if next:
         added["_is_last"] = F.lead(ts).over(inside).isNull()
-    joined = sliced.withColumns(added).join(edges, group)
+    joined = cut.withColumns(added).join(edges, group)
     fixed = {n: F.when(F.col("_is_first"), F.col(f"_edge_{n}")).otherwise(F.col(n)) for n in prev}
     fixed |= {n: F.when(F.col("_is_last"), F.col(f"_edge_{n}")).otherwise(F.col(n)) for n in next}
     return joined.select(*df.columns, *[c.alias(n) for n, c in fixed.items()])
@@ -84,11 +92,11 @@ def running(
     ``order`` names the columns breaking ties of ``ts``.
     """
     maxima, sums = dict(maxima or {}), dict(sums or {})
-    sliced = df.withColumn(SLICE, slice_of(ts))
+    cut = sliced(df, key, ts)
     group = [*key, SLICE]
     before = Window.partitionBy(*key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     edges = (
-        sliced.groupBy(*group)
+        cut.groupBy(*group)
         .agg(
             *[F.max(c).alias(f"_all_{n}") for n, c in maxima.items()],
             *[F.sum(c).alias(f"_all_{n}") for n, c in sums.items()],
@@ -104,7 +112,7 @@ def running(
     )
     added = {f"_in_{n}": F.max(c).over(inside) for n, c in maxima.items()}
     added |= {f"_in_{n}": F.sum(c).over(inside) for n, c in sums.items()}
-    joined = sliced.withColumns(added).join(edges, group)
+    joined = cut.withColumns(added).join(edges, group)
     return joined.select(
         *df.columns,
         *[F.greatest(f"_in_{n}", f"_edge_{n}").alias(n) for n in maxima],

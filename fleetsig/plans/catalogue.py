@@ -2,4 +2,5 @@
 
 from fleetsig.plans import (  # noqa: F401
     catalogue_analytics,
+    catalogue_panels,
 )
