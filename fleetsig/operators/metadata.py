@@ -87,18 +87,39 @@ def enum_code(
     )
 
 
+def number_rows(df: DataFrame, key: Sequence[str], id_col: str, start: Column) -> DataFrame:
+    """Number rows ``start + 1, start + 2, ...`` in the order (bucket, key), where the bucket is the first
+    three hex digits of the key's MD5.
+
+    Rows are numbered bucket by bucket in parallel; only the bucket sizes, at most 4096 of them, meet in one
+    task.
+    """
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in key])
+    rows = df.withColumn("_bucket", F.substring(F.md5(text), 1, 3))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_size"))
+    offsets = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*key))
+    return (
+        rows.withColumn("_rank", rank)
+        .join(F.broadcast(offsets), "_bucket")
+        .withColumn(id_col, start + F.col("_offset") + F.col("_rank"))
+        .drop("_bucket", "_rank", "_offset")
+    )
+
+
 def get_or_create(dim: DataFrame, incoming: DataFrame, natural_key: Sequence[str], id_col: str = "id") -> DataFrame:
-    """Dimension with unseen natural keys added under fresh ids; existing rows keep all their attributes.
+    """Dimension with unseen natural keys added under fresh ids above the highest one in use.
 
-    Fresh ids are ``max(id) + rank`` of the natural key among the new rows.
+    Existing rows keep all their attributes.
     """
-    top = dim.select(F.coalesce(F.max(id_col), F.lit(0)))
-    fresh = incoming.dropDuplicates(list(natural_key)).join(dim.select(*natural_key), list(natural_key), "left_anti")
-    # The new rows of a dimension are few (instruments, enumerations); one ordered pass numbers them.
-    rank = F.row_number().over(Window.orderBy(*natural_key))
+    key = list(natural_key)
+    top = dim.select(F.coalesce(F.max(id_col), F.lit(0))).scalar()
+    fresh = incoming.dropDuplicates(key).join(dim.select(*key), key, "left_anti").drop(id_col)
+    numbered = number_rows(fresh, key, id_col, top)
     kind = dim.schema[id_col].dataType
-    numbered = fresh.drop(id_col).withColumn(id_col, (top.scalar() + rank).cast(kind))
-    return dim.unionByName(numbered.select(*[c for c in dim.columns if c in numbered.columns]), allowMissingColumns=True)
+    named = numbered.withColumn(id_col, F.col(id_col).cast(kind))
+    return dim.unionByName(named.select(*[c for c in dim.columns if c in named.columns]), allowMissingColumns=True)
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: Sequence[str], attrs: Sequence[str]) -> DataFrame:

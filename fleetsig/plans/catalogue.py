@@ -2,5 +2,7 @@
 
 from fleetsig.plans import (  # noqa: F401
     catalogue_analytics,
+    catalogue_operations,
     catalogue_panels,
+    catalogue_storage,
 )

@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "INT": T.IntegerType(), "BIGINT": T.LongType(), "DOUBLE": T.DoubleType(), "STRING": T.StringType(),
+    "TIMESTAMP": T.TimestampType(),
+}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Flat struct from a column list, without needing a session."""
+    pairs = [column.split() for column in text.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 EVENTS = _struct(
@@ -48,14 +56,14 @@ SERVER_LOG = _struct(
 )
 
 # rows of an XML export, one struct per ValueData / Enumeration / Instrument element
-XML_VALUE_DATA = _struct(
+XML_VALUE_DATA = (
     "_ParameterID INT, ParameterValues STRUCT<ParameterValue: "
     "ARRAY<STRUCT<_Timestamp: STRING, Value: STRING>>>"
 )
-XML_ENUMERATION = _struct(
+XML_ENUMERATION = (
     "_Name STRING, _Instrument STRING, Literal ARRAY<STRUCT<_Name: STRING, _VALUE: STRING>>"
 )
-XML_INSTRUMENT = _struct(
+XML_INSTRUMENT = (
     "_Name STRING, Component ARRAY<STRUCT<_Name: STRING, Component: ARRAY<STRUCT<_Name: STRING, "
     "Parameter: ARRAY<STRUCT<_ID: INT, _Name: STRING, _DisplayName: STRING, _DisplayUnit: STRING, "
     "_StorageUnit: STRING, _Type: STRING, _EnumerationName: STRING, _EventID: STRING, "
