@@ -19,6 +19,7 @@ from fleetsig import schema
 from fleetsig.plans.views import Fleet
 from fleetsig.session import prepare
 
+ERRORS = "alarms/errors"
 SORT = ["instrument_id", "param_id", "time"]
 _STORED_EVENTS = StructType([*schema.EVENTS.fields, StructField("day", DateType())])
 
@@ -130,7 +131,17 @@ class Lake:
         self._remove(kept)
 
     def delete_before(self, instrument_id: int, before: date) -> None:
+        """Remove an instrument's events and alarms older than a date."""
         self.delete_events((F.col("instrument_id") == instrument_id) & (F.col("time") < F.lit(str(before)).cast("timestamp")))
+        errors = self._errors()
+        if errors is not None:
+            self.replace(ERRORS, delete_before(errors, instrument_id, str(before), "Time", "InstrumentID"))
+
+    def _errors(self) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(self.path(ERRORS))
+        except AnalysisException:
+            return None
 
     def delete_instrument(self, instrument_id: int) -> None:
         small = {
@@ -143,6 +154,9 @@ class Lake:
         left = delete_instrument(small, instrument_id)
         for name in ("enum_values", "enum_types", "parameters", "instruments"):
             self.replace(name, left[name])
+        errors = self._errors()
+        if errors is not None:
+            self.replace(ERRORS, delete_instrument({"errors": errors}, instrument_id)["errors"])
         self.delete_events(F.col("instrument_id") == instrument_id)
 
     # derived tables
