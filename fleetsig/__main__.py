@@ -61,9 +61,9 @@ def import_alarms(lake: Lake, source) -> None:
         return
     notes = tabular.union_sources({i: source(s, "notifications") for i, s in servers.items()})
     defs = tabular.union_sources({i: source(s, "definitions") for i, s in servers.items()}).drop("instrument_id")
-    stored = {n: lake.read(f"alarms/{n}", lake.spark.createDataFrame([], ddl).schema) for n, ddl in ALARM_TABLES.items()}
-    for name, df in alarms.import_incremental(stored, defs.dropDuplicates(["ErrorDefinitionID"]), notes).items():
-        lake.replace(f"alarms/{name}", df)
+    stored = {n: lake.read(f"alarms/{n}", ddl) for n, ddl in ALARM_TABLES.items()}
+    after = alarms.import_incremental(stored, defs.dropDuplicates(["ErrorDefinitionID"]), notes)
+    lake.replace_all({f"alarms/{name}": df for name, df in after.items()})
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -21,7 +21,7 @@ def numeric_value(text: Column, kind: Column) -> Column:
     return (
         F.when(kind == "float", text.try_cast("double"))
         .when(kind == "int", text.try_cast("bigint").cast("double"))
-        .when(kind == "bool", (F.trim(text) == "true").cast("int").cast("double"))
+        .when((kind == "bool") & (text != ""), (F.trim(text) == "true").cast("int").cast("double"))
     )
 
 

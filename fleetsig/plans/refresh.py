@@ -24,13 +24,18 @@ def refresh_all(lake: Lake, views=tuple(VIEWS)) -> None:
     fleet = lake.fleet()
     for name, (fn, needs) in VIEWS.items():
         if name in views:
-            df = fn(fleet, *[lake.view(n) for n in needs])
+            df = fn(fleet, *[_stored(lake, fleet, n) for n in needs])
             if name in DAILY:
                 lake.write_view(name, dated(df), "bucket_day")
             else:
                 lake.write_view(name, df)
 
 
+def _stored(lake: Lake, fleet: Fleet, name: str) -> DataFrame:
+    fn = VIEWS[name][0]
+    return lake.view(name, fn(fleet).schema)
+
+
 def dated(df: DataFrame) -> DataFrame:
     return df.withColumn("bucket_day", F.to_date("day"))
 
@@ -64,10 +69,11 @@ def refresh_window(lake: Lake, name: str, now: datetime, start_offset: int = 4,
     """
     start, end = window(now, start_offset, end_offset)
     fn, needs = VIEWS[name]
+    fleet = lake.fleet()
     if needs:
-        rows = fn(lake.fleet(), *[lake.view(n) for n in needs])
+        rows = fn(fleet, *[_stored(lake, fleet, n) for n in needs])
     else:
-        rows = fn(limited(lake.fleet(), start, end))
+        rows = fn(limited(fleet, start, end))
     day = F.to_date("day")
     fresh = dated(rows.where((day >= F.lit(start)) & (day < F.lit(end))))
     lake.write_view_days(name, fresh, "bucket_day", start, end)

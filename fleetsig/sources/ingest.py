@@ -104,7 +104,7 @@ def poll(spark: SparkSession, directory: str, registry: DataFrame, lake: Lake) -
     listed = (
         spark.read.format("binaryFile").option("pathGlobFilter", GLOB).load(directory).select("path", "modificationTime")
     )
-    done = lake.read("imported_files", spark.createDataFrame([], _FILE_LOG).schema)
+    done = lake.log("imported_files", _FILE_LOG)
     fresh = listed.join(done, ["path", "modificationTime"], "left_anti").collect()
     if fresh:
         paths = sorted(r["path"] for r in fresh)

@@ -1,7 +1,7 @@
 """The stored tables: parquet directories, the events partitioned by UTC day.
 
-Rewrites go through a staged copy of the affected days, which is then published by dynamic partition
-overwrite; a job lost half-way leaves the published table as it was and can be run again.
+Small tables are replaced by writing a new version next to the old one. Rewritten days of the events go
+through a staged copy, which is then published by dynamic partition overwrite.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def delete_before(df: DataFrame, instrument_id: int, before, ts: str = "time", i
 
 def delete_instrument(tables: dict[str, DataFrame], instrument_id: int) -> dict[str, DataFrame]:
     """All tables without an instrument and what belongs to it; enumeration values go with their type."""
-    owner = {"instruments": "id", "errors": "InstrumentID"}
+    owner = {"instruments": "id", ERRORS: "InstrumentID"}
     left = {
         name: df.where(F.col(owner.get(name, "instrument_id")) != instrument_id)
         for name, df in tables.items()
@@ -64,25 +64,52 @@ class Lake:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    # small tables
+    # small tables, each kept as numbered versions of which the newest complete one counts
 
     def read(self, name: str, struct=None) -> DataFrame:
         """A stored table, empty if it was never written."""
+        versions = self._versions(name)
+        if versions:
+            return self.spark.read.parquet(f"{self.path(name)}/version={versions[-1]}")
+        if struct is None:
+            raise FileNotFoundError(self.path(name))
+        return self.spark.createDataFrame([], struct)
+
+    def replace(self, name: str, df: DataFrame) -> None:
+        """Give a table new content, which may be computed from the old one."""
+        self.replace_all({name: df})
+
+    def replace_all(self, tables: dict[str, DataFrame]) -> None:
+        """Replace several tables that may be computed from each other's old content.
+
+        A job that dies leaves the versions it completed; running it again starts from those.
+        """
+        kept = {name: self._versions(name) for name in tables}
+        for name, df in tables.items():
+            version = (kept[name][-1] if kept[name] else 0) + 1
+            df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
+                f"{self.path(name)}/version={version}"
+            )
+        for name, versions in kept.items():
+            for old in versions[:-1]:
+                self._remove(f"{self.path(name)}/version={old}")
+
+    def _versions(self, name: str) -> list[int]:
+        fs, where = self._fs(self.path(name))
+        if not fs.exists(where):
+            return []
+        found = [f.getPath() for f in fs.listStatus(where) if f.getPath().getName().startswith("version=")]
+        done = [d for d in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(d, "_SUCCESS"))]
+        return sorted(int(d.getName().split("=")[1]) for d in done)
+
+    # tables that only grow
+
+    def log(self, name: str, struct) -> DataFrame:
         try:
-            return self.spark.read.parquet(self.path(name))
+            return self.spark.read.schema(struct).parquet(self.path(name))
         except AnalysisException:
-            if struct is None:
-                raise
             return self.spark.createDataFrame([], struct)
 
-    def replace(self, name: str, df: DataFrame) -> None:
-        """Overwrite a table, also with rows computed from itself: staged first, then published."""
-        staged = self._stage(df)
-        self.spark.read.schema(df.schema).parquet(staged).write.mode("overwrite").option(
-            "partitionOverwriteMode", "static"
-        ).parquet(self.path(name))
-        self._remove(staged)
-
     def append(self, name: str, df: DataFrame) -> None:
         df.write.mode("append").parquet(self.path(name))
 
@@ -138,10 +165,7 @@ class Lake:
             self.replace(ERRORS, delete_before(errors, instrument_id, str(before), "Time", "InstrumentID"))
 
     def _errors(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self.path(ERRORS))
-        except AnalysisException:
-            return None
+        return self.read(ERRORS) if self._versions(ERRORS) else None
 
     def delete_instrument(self, instrument_id: int) -> None:
         small = {
@@ -151,18 +175,16 @@ class Lake:
                 ("enum_types", schema.ENUM_TYPES), ("enum_values", schema.ENUM_VALUES),
             )
         }
-        left = delete_instrument(small, instrument_id)
-        for name in ("enum_values", "enum_types", "parameters", "instruments"):
-            self.replace(name, left[name])
         errors = self._errors()
-        if errors is not None:
-            self.replace(ERRORS, delete_instrument({"errors": errors}, instrument_id)["errors"])
+        self.replace_all(delete_instrument(small if errors is None else small | {ERRORS: errors}, instrument_id))
         self.delete_events(F.col("instrument_id") == instrument_id)
 
     # derived tables
 
-    def view(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(f"views/{name}"))
+    def view(self, name: str, struct: StructType | None = None) -> DataFrame:
+        """A derived table; the schema is needed where it may have no rows yet."""
+        reader = self.spark.read if struct is None else self.spark.read.schema(struct)
+        return reader.parquet(self.path(f"views/{name}"))
 
     def write_view(self, name: str, df: DataFrame, partition: str | None = None) -> None:
         """Overwrite a derived table as a whole."""
@@ -197,10 +219,13 @@ class Lake:
         df.write.parquet(staged)
         return staged
 
+    def _fs(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
     def _remove(self, path: str) -> None:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        fs, where = self._fs(path)
+        fs.delete(where, True)
 
 
 def _days(rows: DataFrame) -> list[date]:

@@ -138,7 +138,7 @@ def test_conversion_of_exported_text(spark):
     cases = [
         ("int", "5", 5.0, None), ("int", " 5 ", 5.0, None), ("int", "5.0", None, None), ("int", "", None, None),
         ("float", "1e3", 1000.0, None), ("float", "x", None, None), ("bool", " true ", 1.0, None),
-        ("bool", "True", 0.0, None), ("bool", None, None, None), ("str", " a ", None, " a "), ("str", "", None, None),
+        ("bool", "True", 0.0, None), ("bool", None, None, None), ("bool", "", None, None), ("str", " a ", None, " a "), ("str", "", None, None),
     ]
     df = spark.createDataFrame([c[:2] for c in cases], "kind STRING, raw STRING")
     out = df.select(numeric_value(F.col("raw"), F.col("kind")), text_value(F.col("raw"), F.col("kind"))).collect()
