@@ -72,7 +72,7 @@ def main(argv: list[str] | None = None) -> None:
     lake = Lake(spark, args.lake)
     if args.command == "import":
         result = ingest.batch(spark, args.input, args.settings, args.lake)
-        unknown = result.rejects.groupBy("param_id").agg(F.count("*").alias("values"))
+        unknown = result.rejects.groupBy("param_id").agg(F.sum("rejected").alias("values"))
         unknown.orderBy(F.desc("values")).show(20)
     elif args.command == "watch":
         registry = tabular.read_registry(spark, args.settings)

@@ -88,7 +88,7 @@ def _parsed(spark, sf):
     JOIN ({KNOWN_PARAMS}) USING (instrument_id, param_id) WHERE value_num IS NOT NULL OR value_text IS NOT NULL""",
 )
 def _(spark, sf):
-    return _parsed(spark, sf)[0]
+    return xml_export.accepted(_parsed(spark, sf))
 
 
 @register("io02_typed_values", f"{TYPED_SQL} SELECT event_id, value_num, value_text FROM typed WHERE value_num IS NOT NULL OR value_text IS NOT NULL")
@@ -107,7 +107,7 @@ def _(spark, sf):
     FROM raw WHERE (instrument_id, param_id) NOT IN ({KNOWN_PARAMS}) GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    rejects = _parsed(spark, sf)[1]
+    rejects = xml_export.rejected(_parsed(spark, sf))
     return rejects.groupBy("instrument_id", "param_id").agg(F.count("*").alias("rejected"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -9,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetsig import schema
-from fleetsig.functions.convert import utc_instant
 from fleetsig.operators import metadata
 from fleetsig.session import checkpoint_dir
 from fleetsig.sources import tabular, xml_export
@@ -17,12 +17,13 @@ from fleetsig.sources.lake import Lake
 from fleetsig.sources.xml_export import FILE
 
 GLOB = "*_data.{xml,xml.gz}"
+_REJECTS = f"{FILE} STRING, param_id INT, rejected BIGINT, import_id STRING"
 _FILE_LOG = "path STRING, modificationTime TIMESTAMP"
 
 
 @dataclass
 class ImportResult:
-    """``rejects``: values of parameters their file does not describe; ``skipped``: files of no known instrument."""
+    """``rejects``: values per file and unknown parameter; ``skipped``: files of no known instrument."""
 
     rejects: DataFrame
     skipped: list[str]
@@ -31,30 +32,35 @@ class ImportResult:
 def import_files(spark: SparkSession, paths: Sequence[str], registry: DataFrame, lake: Lake, strict: bool = True) -> ImportResult:
     """Import exports: metadata with history first, then the values; a second import changes nothing.
 
-    Where files of one instrument disagree on metadata, the file later in name order wins.
+    Each of the three sections is parsed once and kept as a staged table while the import lasts. Where files
+    of one instrument disagree on metadata, the file later in name order wins.
     """
     paths = list(paths)
-    files = xml_export.file_instruments(spark, paths).join(registry, "instrument", "left")
-    listed = spark.read.format("binaryFile").load(paths).select(F.col("path").alias(FILE))
-    skipped = [
-        r[0] for r in listed.join(files.where("name IS NOT NULL"), FILE, "left_anti").collect()
-    ]
-    if skipped and strict:
-        raise ValueError(f"no registered instrument for: {', '.join(sorted(skipped))}")
-    files = files.where("name IS NOT NULL")
-
-    _store_instruments(lake, files)
-    ids = lake.read("instruments").select(F.col("id").alias("instrument_id"), "instrument")
-    owner = files.select(FILE, "instrument").join(ids, "instrument").select(FILE, "instrument_id")
-    now = F.current_timestamp()
-    _store_enumerations(lake, xml_export.read_enumerations(spark, paths).join(owner, FILE), now)
-    described = xml_export.read_parameters(spark, paths).join(owner, FILE)
-    _store_parameters(lake, described, now)
-
-    values = xml_export.explode_values(xml_export.read_value_data(spark, paths)).join(owner, FILE)
-    events, rejects = xml_export.type_values(values, described, on=[FILE, "param_id"])
-    lake.append_events(events)
-    return ImportResult(rejects.withColumn("time", utc_instant(F.col("time_text"))), skipped)
+    with lake.staging() as stage:
+        enumerations = stage(xml_export.read_enumerations(spark, paths))
+        files = xml_export.file_instruments(enumerations).join(registry, "instrument")
+        listed = spark.read.format("binaryFile").load(paths).select(F.col("path").alias(FILE))
+        # one name per file of this import
+        skipped = [r[0] for r in listed.join(files, FILE, "left_anti").collect()]
+        if skipped and strict:
+            raise ValueError(f"no registered instrument for: {', '.join(sorted(skipped))}")
+
+        _store_instruments(lake, files)
+        ids = lake.read("instruments").select(F.col("id").alias("instrument_id"), "instrument")
+        owner = files.select(FILE, "instrument").join(ids, "instrument").select(FILE, "instrument_id")
+        now = F.current_timestamp()
+        labels = xml_export.flatten_enumerations(enumerations).drop("instrument")
+        _store_enumerations(lake, labels.join(owner, FILE), now)
+        described = stage(xml_export.read_parameters(spark, paths)).join(owner, FILE)
+        _store_parameters(lake, described, now)
+
+        values = xml_export.explode_values(xml_export.read_value_data(spark, paths)).join(owner, FILE)
+        typed = stage(xml_export.type_values(values, described.drop("instrument_id"), on=[FILE, "param_id"]))
+        lake.append_events(xml_export.accepted(typed))
+        run = uuid.uuid4().hex
+        counts = xml_export.rejected(typed).groupBy(FILE, "param_id").agg(F.count("*").alias("rejected"))
+        lake.append("rejects", counts.withColumn("import_id", F.lit(run)))
+    return ImportResult(lake.log("rejects", _REJECTS).where(F.col("import_id") == run), skipped)
 
 
 def _store_instruments(lake: Lake, files: DataFrame) -> None:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
 from datetime import date, datetime, timedelta
 
 from pyspark.errors import AnalysisException
@@ -147,15 +148,14 @@ class Lake:
         days = _days(self.events().where(condition))
         if not days:
             return
-        kept = self._stage(self.events(days).where(~F.coalesce(condition, F.lit(False))))
-        survivors = self.spark.read.parquet(kept)
-        left = set(_days(survivors))
-        if left:
-            self._write_days(survivors, "overwrite")
+        with self.staging() as stage:
+            survivors = stage(self.events(days).where(~F.coalesce(condition, F.lit(False))))
+            left = set(_days(survivors))
+            if left:
+                self._write_days(survivors, "overwrite")
         for day in days:
             if day not in left:
                 self._remove(f"{self.path('data')}/day={day}")
-        self._remove(kept)
 
     def delete_before(self, instrument_id: int, before: date) -> None:
         """Remove an instrument's events and alarms older than a date."""
@@ -214,6 +214,21 @@ class Lake:
             .parquet(self.path("data"))
         )
 
+    @contextmanager
+    def staging(self):
+        """Gives a function that writes a frame to a table of its own, removed when the block ends."""
+        written = []
+
+        def stage(df: DataFrame) -> DataFrame:
+            written.append(self._stage(df))
+            return self.spark.read.schema(df.schema).parquet(written[-1])
+
+        try:
+            yield stage
+        finally:
+            for path in written:
+                self._remove(path)
+
     def _stage(self, df: DataFrame) -> str:
         staged = self.path(f"_staging/{uuid.uuid4().hex}")
         df.write.parquet(staged)

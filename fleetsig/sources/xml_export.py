@@ -40,12 +40,13 @@ def read_value_data(spark: SparkSession, paths) -> DataFrame:
 
 
 def read_enumerations(spark: SparkSession, paths) -> DataFrame:
-    """source_file, instrument, enum_name, member_name, value."""
+    """Enumeration elements in file order."""
     rows = read_elements(spark, paths, "Enumeration", schema.XML_ENUMERATION)
-    return flatten_enumerations(rows)
+    return rows.withColumn("_at", F.monotonically_increasing_id())
 
 
 def flatten_enumerations(rows: DataFrame) -> DataFrame:
+    """source_file, instrument, enum_name, member_name, value."""
     return rows.select(
         FILE,
         F.col("_Instrument").alias("instrument"),
@@ -60,15 +61,10 @@ def flatten_enumerations(rows: DataFrame) -> DataFrame:
     )
 
 
-def file_instruments(spark: SparkSession, paths) -> DataFrame:
+def file_instruments(enumerations: DataFrame) -> DataFrame:
     """Instrument each file belongs to: the one named by its first enumeration."""
-    rows = read_elements(spark, paths, "Enumeration", schema.XML_ENUMERATION)
-    return (
-        rows.select(FILE, F.col("_Instrument").alias("instrument"), F.monotonically_increasing_id().alias("_at"))
-        .where("instrument IS NOT NULL")
-        .groupBy(FILE)
-        .agg(F.min_by("instrument", "_at").alias("instrument"))
-    )
+    named = enumerations.where("_Instrument IS NOT NULL")
+    return named.groupBy(FILE).agg(F.min_by("_Instrument", "_at").alias("instrument"))
 
 
 def read_parameters(spark: SparkSession, paths) -> DataFrame:
@@ -115,22 +111,27 @@ def explode_values(value_data: DataFrame, keep: Sequence[str] = (FILE,)) -> Data
     ).select(*keep, "param_id", F.col("_v._Timestamp").alias("time_text"), F.col("_v.Value").alias("raw"))
 
 
-def type_values(values: DataFrame, parameters: DataFrame, on: Sequence[str] = ("instrument_id", "param_id")) -> tuple[DataFrame, DataFrame]:
-    """Events of known parameters, and the values whose parameter is unknown.
+def type_values(values: DataFrame, parameters: DataFrame, on: Sequence[str] = ("instrument_id", "param_id")) -> DataFrame:
+    """Values as events, with their parameter's ``value_type``; NULL there means an unknown parameter."""
+    kinds = parameters.select(*on, "value_type")
+    raw, kind = F.col("raw"), F.col("value_type")
+    return values.join(kinds, list(on), "left").withColumns({
+        "time": utc_instant(F.col("time_text")),
+        "value_num": numeric_value(raw, kind),
+        "value_text": text_value(raw, kind),
+    })
 
-    A value that does not convert to its parameter's type, and an empty one, is dropped.
-    """
-    known = parameters.select(*on, "value_type")
-    typed = values.join(known, list(on)).select(
-        utc_instant(F.col("time_text")).alias("time"),
-        "instrument_id",
-        "param_id",
-        numeric_value(F.col("raw"), F.col("value_type")).alias("value_num"),
-        text_value(F.col("raw"), F.col("value_type")).alias("value_text"),
-    )
-    events = typed.where("time IS NOT NULL AND (value_num IS NOT NULL OR value_text IS NOT NULL)")
-    rejects = values.join(known.select(*on), list(on), "left_anti")
-    return events, rejects
+
+def accepted(typed: DataFrame) -> DataFrame:
+    """Events of known parameters; a value that does not convert to its type, and an empty one, is dropped."""
+    return typed.where(
+        "time IS NOT NULL AND value_type IS NOT NULL AND (value_num IS NOT NULL OR value_text IS NOT NULL)"
+    ).select("time", "instrument_id", "param_id", "value_num", "value_text")
+
+
+def rejected(typed: DataFrame) -> DataFrame:
+    """Values whose parameter is unknown."""
+    return typed.where("value_type IS NULL")
 
 
 def enums_from_config(configs: DataFrame, column: str = "config") -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ and state are addressed by batch id, so a replayed micro-batch overwrites its ow
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +18,14 @@ from fleetsig.operators.intervals import change_points
 KEY = ["instrument_id", "param_id"]
 
 
-def advance(state: DataFrame | None, rows: DataFrame, key: Sequence[str] = tuple(KEY), idle: float = 0) -> tuple[DataFrame, DataFrame]:
-    """Closed sessions and new state after a micro-batch.
+def advance(
+    state: DataFrame | None,
+    rows: DataFrame,
+    key: Sequence[str] = tuple(KEY),
+    idle: float = 0,
+    keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> tuple[DataFrame, DataFrame]:
+    """Closed sessions and new state after a micro-batch. ``keep`` may store the change points, used repeatedly.
 
     State columns: key, ``time`` and ``value_num`` of the last sample, ``open_id`` and ``open_start`` of the
     session still running. Rows not later than the last sample seen of their signal are ignored.
@@ -32,7 +38,7 @@ def advance(state: DataFrame | None, rows: DataFrame, key: Sequence[str] = tuple
         ordered = rows.unionByName(state.select(*key, "time", "value_num"))
     else:
         ordered = rows
-    changes = change_points(ordered, key, "time", "value_num")
+    changes = keep(change_points(ordered, key, "time", "value_num"))
     begun = changes.where(F.col("value_num") != F.lit(idle)).select(
         *key, whole("value_num").alias("session_id"), F.col("time").alias("start_time"), F.col("_next").alias("end_time")
     )
@@ -58,7 +64,12 @@ def stream_sessions(spark: SparkSession, samples: DataFrame, out: str, checkpoin
     def run(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         state = _state(session, checkpoint, batch_id - 1)
-        closed, after = advance(state, batch)
+
+        def keep(changes: DataFrame) -> DataFrame:
+            changes.write.mode("overwrite").parquet(f"{checkpoint}/changes")
+            return session.read.schema(changes.schema).parquet(f"{checkpoint}/changes")
+
+        closed, after = advance(state, batch, keep=keep)
         after.write.mode("overwrite").parquet(f"{checkpoint}/state/{batch_id}")
         closed.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 

@@ -80,7 +80,7 @@ def test_import_upsert_history_and_repeat(spark, tmp_path, registry, lake):
     first.write_text(export())
     result = ingest.import_files(spark, [str(first)], registry, lake)
     assert got(lake.events(), "param_id", "time", "value_num", "value_text") == sorted(EVENTS, key=repr)
-    assert got(result.rejects, "param_id", "raw") == [(77, "1")]
+    assert got(result.rejects, "param_id", "rejected") == [(77, 1)]
     f = lake.fleet()
     assert got(f.instruments, "id", "instrument", "serial") == [(1, "9999, Test", 9999)]
     names = f.enum_types.select("id", "name").join(f.enum_values, F.col("id") == F.col("enum_id"))
