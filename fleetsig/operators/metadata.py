@@ -52,6 +52,21 @@ def resolve_signal(
     return resolved.withColumn("param_id", F.coalesce("param_id", F.lit(default)))
 
 
+# Up to this many parameter ids are handed to the scan as a filter; with more the join alone selects.
+_PUSHED_IDS = 1000
+
+
+def with_ids_of(data: DataFrame, dim: DataFrame) -> DataFrame:
+    """Samples whose parameter id occurs in ``dim``.
+
+    The ids come from metadata and are few, so they are looked up first and reach the scan as a pushed
+    filter: stored events are sorted by parameter, so whole row groups and pages are skipped. The join that
+    follows still decides; this only spares reading.
+    """
+    ids = [r[0] for r in dim.select("param_id").distinct().limit(_PUSHED_IDS + 1).collect()]
+    return data.where(F.col("param_id").isin(ids)) if len(ids) <= _PUSHED_IDS else data
+
+
 def select_signals(
     data: DataFrame,
     parameters: DataFrame,
@@ -60,7 +75,7 @@ def select_signals(
 ) -> DataFrame:
     """Samples of the signals whose metadata match, with the wanted attributes."""
     dim = find_signals(parameters, *alternatives).select(*SIGNAL_KEY, *attrs)
-    return data.join(dim, SIGNAL_KEY)
+    return with_ids_of(data, dim).join(dim, SIGNAL_KEY)
 
 
 def enum_code(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetsig.functions.times import ratio, time_bucket
-from fleetsig.operators.metadata import SIGNAL_KEY, any_of
+from fleetsig.operators.metadata import SIGNAL_KEY, any_of, with_ids_of
 from fleetsig.operators.quantiles import exact_quantiles
 
 
@@ -33,6 +33,15 @@ def decode(df: DataFrame, enum_values: DataFrame, how: str = "inner", value: str
     return df.join(labels, ["enum_id", value], how)
 
 
+def latest_label(df: DataFrame, enum_values: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The newest label per key; codes without label are skipped before the newest is taken.
+
+    The newest time of every code is found first, so only that many rows are decoded.
+    """
+    per_code = df.groupBy(*key, "enum_id", "value_num").agg(F.max("time").alias("time"))
+    return latest(decode(per_code, enum_values), key, ["member_name"])
+
+
 def latest_decoded(
     data: DataFrame,
     parameters: DataFrame,
@@ -49,9 +58,9 @@ def latest_decoded(
     for label, alternatives in reversed(list(modules.items())):
         name = F.when(any_of(alternatives), F.lit(label)).otherwise(name)
     dim = parameters.withColumn("name", name).where(F.col("name").isNotNull()).select(*SIGNAL_KEY, "enum_id", "name")
-    rows = data.join(dim, SIGNAL_KEY).select(*SIGNAL_KEY, "name", "enum_id", "value_num", "time")
+    rows = with_ids_of(data, dim).join(dim, SIGNAL_KEY).select(*SIGNAL_KEY, "name", "enum_id", "value_num", "time")
     if decode_first:
-        newest = latest(decode(rows, enum_values), ["instrument_id", "name"], ["member_name"])
+        newest = latest_label(rows, enum_values, ["instrument_id", "name"])
     else:
         newest = decode(latest(rows, [*SIGNAL_KEY, "name", "enum_id"], ["value_num"]), enum_values)
     return newest.select("instrument_id", "name", F.col("member_name").alias("value"), "time")

@@ -80,15 +80,20 @@ def session_states(sig: DataFrame, tag, codes: DataFrame) -> DataFrame:
         "time",
         next={"_next": "time"},
     )
-    state = whole("value_num", "long")
     credit = F.when(F.col("_next") < F.col("end_time"), elapsed("time", "_next")).otherwise(0)
-    return (
+    session = ["instrument_id", "session_id", "start_time", "end_time"]
+    # added up per state first, so that codes meet a few rows per session instead of every sample
+    per_state = (
         tag(timed)
-        .join(codes, ["instrument_id", "param_id"])
-        .groupBy("instrument_id", "session_id", "start_time", "end_time")
+        .groupBy(*session, "param_id", whole("value_num", "long").alias("state"))
+        .agg(F.sum(credit).alias("micros"))
+    )
+    return (
+        per_state.join(codes, ["instrument_id", "param_id"])
+        .groupBy(*session)
         .agg(
-            F.sum(F.when(state == F.col("running"), credit).otherwise(0)).alias("running_micros"),
-            F.bool_or(state == F.col("terminated")).alias("has_terminated"),
+            F.sum(F.when(F.col("state") == F.col("running"), F.col("micros")).otherwise(0)).alias("running_micros"),
+            F.bool_or(F.col("state") == F.col("terminated")).alias("has_terminated"),
         )
         .select(
             "instrument_id",

@@ -57,8 +57,8 @@ def neighbours(
     cut = sliced(df, key, ts)
     group = [*key, SLICE]
 
-    last = [F.max_by(c, ts).alias(f"_last_{n}") for n, c in prev.items()]
-    first = [F.min_by(c, ts).alias(f"_first_{n}") for n, c in next.items()]
+    last = [(F.max(c) if c == ts else F.max_by(c, ts)).alias(f"_last_{n}") for n, c in prev.items()]
+    first = [(F.min(c) if c == ts else F.min_by(c, ts)).alias(f"_first_{n}") for n, c in next.items()]
     across = Window.partitionBy(*key).orderBy(SLICE)
     edges = cut.groupBy(*group).agg(*last, *first).select(
         *group,

@@ -193,7 +193,7 @@ def instrument_summary(fleet: Fleet, as_of, days: int = 10, instruments: Ids = N
     )
     bounds = data.groupBy("instrument_id").agg(F.min("time").alias("oldest_data"), F.max("time").alias("latest_data"))
     family_rows = fleet.signal(S.FAMILY, attrs=["enum_id"]).where(recent)
-    family = series.latest(series.decode(family_rows, fleet.enum_values), ["instrument_id"], ["member_name"])
+    family = series.latest_label(family_rows, fleet.enum_values, ["instrument_id"])
     serial = series.latest(fleet.signal(S.SERIAL).where(recent), ["instrument_id"], ["value_num"])
     return (
         fleet.instruments.withColumnRenamed("id", "instrument_id")
@@ -231,11 +231,8 @@ def camera_errors(fleet: Fleet, t_from, t_to, instruments: Ids = None) -> DataFr
 
 def pressure_series(fleet: Fleet, t_from, t_to, instruments: Ids = None) -> DataFrame:
     """Samples of the pressure gauge that belongs to the instrument's (newest known) product family."""
-    families = series.latest(
-        series.decode(fleet.signal(S.FAMILY, attrs=["enum_id"]).where(F.col("value_num") > 0), fleet.enum_values),
-        ["instrument_id"],
-        ["member_name"],
-    )
+    known = fleet.signal(S.FAMILY, attrs=["enum_id"]).where(F.col("value_num") > 0)
+    families = series.latest_label(known, fleet.enum_values, ["instrument_id"])
     gauge = F.lit(S.PRESSURE_OTHERWISE)
     for family, param in S.PRESSURE_BY_FAMILY.items():
         gauge = F.when(F.col("member_name") == family, F.lit(param)).otherwise(gauge)
@@ -276,7 +273,7 @@ def pc_health(fleet: Fleet, t_from, t_to, step: float, instruments: Ids = None,
     for label, signal in reversed(list(panels.items())):
         name = F.when(metadata.matches(**signal), F.lit(label)).otherwise(name)
     dim = fleet.parameters.withColumn("signal", name).where("signal IS NOT NULL").select(*metadata.SIGNAL_KEY, "signal")
-    rows = ranged(fleet.data, t_from, t_to, instruments).join(dim, metadata.SIGNAL_KEY)
+    rows = metadata.with_ids_of(ranged(fleet.data, t_from, t_to, instruments), dim).join(dim, metadata.SIGNAL_KEY)
     return series.bucket_avg(rows, ["instrument_id", "signal"], step)
 
 

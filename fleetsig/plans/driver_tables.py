@@ -6,7 +6,9 @@ The same signal list feeds the Spark frames here and the SQL of the oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetsig.plans.views import Fleet
@@ -69,10 +71,11 @@ def sql_values(rows) -> str:
     return ", ".join("(" + ", ".join(_lit(v) for v in row) + ")" for row in rows)
 
 
-def _structs(names, rows) -> str:
-    """SQL text of an array of structs, to be inlined next to every instrument."""
-    one = ["named_struct(" + ", ".join(f"'{n}', {_lit(v)}" for n, v in zip(names, row)) + ")" for row in rows]
-    return f"array({', '.join(one)})"
+def _inline(ddl: str, rows) -> Column:
+    """Rows of a fixed list next to every instrument."""
+    names = [field.split()[0] for field in ddl.split(", ")]
+    text = json.dumps([dict(zip(names, row)) for row in rows])
+    return F.inline(F.from_json(F.lit(text), f"ARRAY<STRUCT<{ddl.replace(' ', ': ')}>>".replace(",: ", ", ")))
 
 
 def enum_rows():
@@ -124,13 +127,14 @@ def fleet(spark: SparkSession, sf_dir: str, by_user: bool = False) -> Fleet:
     if by_user:
         users = read(spark, sf_dir, "events").select(F.col("user_id").cast("int").alias("id")).distinct()
         instruments = users.select("id", F.col("id").cast("string").alias("name"))
-    listed = _structs(
-        ["param_id", "subsystem", "component", "param_name", "display_name", "unit", "value_type", "enum_no"],
+    listed = _inline(
+        "param_id INT, subsystem STRING, component STRING, param_name STRING, display_name STRING, unit STRING, "
+        "value_type STRING, enum_no INT",
         [(r[0], *r[2:9]) for r in SIGNALS],
     )
     iid = F.col("instrument_id")
     parameters = (
-        instruments.select(F.col("id").alias("instrument_id"), F.expr(f"inline({listed})"))
+        instruments.select(F.col("id").alias("instrument_id"), listed)
         # the older models: another name for the tilt state, no map counter
         .withColumn(
             "param_name",
@@ -145,12 +149,10 @@ def fleet(spark: SparkSession, sf_dir: str, by_user: bool = False) -> Fleet:
             "value_type",
         )
     )
-    types = _structs(["no", "name"], [e[:2] for e in ENUMS])
-    enum_types = instruments.select(F.col("id").alias("instrument_id"), F.expr(f"inline({types})")).select(
+    enum_types = instruments.select(F.col("id").alias("instrument_id"), _inline("no INT, name STRING", [e[:2] for e in ENUMS])).select(
         (iid * 100 + F.col("no")).alias("id"), "instrument_id", "name"
     )
-    members = _structs(["no", "member_name", "value"], enum_rows())
-    enum_values = instruments.select(F.col("id").alias("instrument_id"), F.expr(f"inline({members})")).select(
+    enum_values = instruments.select(F.col("id").alias("instrument_id"), _inline("no INT, member_name STRING, value INT", enum_rows())).select(
         (iid * 100 + F.col("no")).alias("enum_id"), "member_name", "value"
     )
     ev = events(spark, sf_dir)

@@ -21,7 +21,8 @@ from fleetsig.plans.views import Fleet
 from fleetsig.session import prepare
 
 ERRORS = "alarms/errors"
-SORT = ["instrument_id", "param_id", "time"]
+# parameter first: most questions ask for one signal of the whole fleet
+SORT = ["param_id", "instrument_id", "time"]
 _STORED_EVENTS = StructType([*schema.EVENTS.fields, StructField("day", DateType())])
 
 
@@ -139,10 +140,17 @@ class Lake:
         Only the days the rows fall on are compared.
         """
         rows = incoming.select(*schema.EVENTS.fieldNames()).withColumn("day", F.to_date("time"))
+        if not self._has_events():
+            self._write_days(rows.dropDuplicates(schema.EVENT_KEY), "append")
+            return
         days = _days(rows)
         if days:
             self._write_days(append_dedup(self.events(days), rows), "append")
 
+    def _has_events(self) -> bool:
+        fs, where = self._fs(self.path("data"))
+        return bool(fs.exists(where)) and any(f.getPath().getName().startswith("day=") for f in fs.listStatus(where))
+
     def delete_events(self, condition) -> None:
         """Remove matching events by rewriting the days that hold some."""
         days = _days(self.events().where(condition))

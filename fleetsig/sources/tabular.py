@@ -22,8 +22,8 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_events_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless five-column CSV; an empty field is NULL."""
-    return spark.read.csv(path, schema=schema.EVENTS, nullValue="", emptyValue="", mode="DROPMALFORMED")
+    """Headerless five-column CSV; an empty field is NULL, a malformed line fails the load."""
+    return spark.read.csv(path, schema=schema.EVENTS, nullValue="", emptyValue="", mode="FAILFAST")
 
 
 def read_server_log(spark: SparkSession, path: str) -> DataFrame:
