@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetsig import signals
 from fleetsig.operators import alarms, alerts, snapshots
+from fleetsig.plans.catalogue_analytics import EPU_SESSIONS
 from fleetsig.plans.driver_tables import events, fleet, read
 from fleetsig.plans.registry import register
+from fleetsig.sources import tabular
+from fleetsig.streaming import sessions
 
 # alerts
 
@@ -417,3 +421,51 @@ def _(spark, sf):
 def _(spark, sf):
     out = snapshots.slow_plans(snapshots.logged_plans(_log(spark, sf), "db", "grafana").drop("plan"))
     return _six(out, "io_read_pct")
+
+
+# the same rule with its shipped look-back of three hours
+
+
+@register(
+    "al02_look_back",
+    """recent AS (
+      SELECT d.instrument_id, d.time, d.value_num FROM data d JOIN parameters p USING (instrument_id, param_id)
+      WHERE p.subsystem = 'EnergyFilterBrick' AND p.param_name = 'EnergyFilterIsAvailable' AND d.value_num IS NOT NULL
+        AND d.time > TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 3 HOUR AND d.time <= TIMESTAMP '2024-01-20 12:00:00')
+    SELECT instrument_id, MAX(time) AS time, ARG_MAX(value_num, time) AS last_value,
+      ARG_MAX(value_num, time) = 0 AS firing, 'Energy filter off' AS rule, 'critical' AS severity
+    FROM recent GROUP BY instrument_id""",
+)
+def _(spark, sf):
+    f = fleet(spark, sf)
+    return alerts.evaluate(alerts.FILTER_OFF, f.signal(alerts.FILTER_OFF.signal), "2024-01-20 12:00:00")
+
+
+@register(
+    "ue05_all_servers",
+    """SELECT CAST(l_linenumber AS INTEGER) AS instrument_id, l_shipdate AS "ErrorDtm", CAST(l_partkey AS INTEGER) AS "ErrorDefinitionID"
+    FROM lineitem""",
+    fleet=False,
+)
+def _(spark, sf):
+    # one source per line number stands for one server per instrument
+    items = read(spark, sf, "lineitem")
+    sources = {
+        n: items.where(F.col("l_linenumber") == n).select(
+            F.col("l_shipdate").alias("ErrorDtm"), F.col("l_partkey").cast("int").alias("ErrorDefinitionID")
+        )
+        for n in range(1, 8)
+    }
+    return tabular.union_sources(sources)
+
+
+@register(
+    "st01_streaming_sessions",
+    f"""{EPU_SESSIONS} SELECT * FROM epu_sessions WHERE end_time IS NOT NULL""",
+)
+def _(spark, sf):
+    # two micro-batches, the second starting from the state the first left
+    sig = fleet(spark, sf).signal(signals.EPU_SESSION)
+    closed, state = sessions.advance(None, sig.where("time < '2024-01-16'"))
+    later, _after = sessions.advance(state, sig.where("time >= '2024-01-16'"))
+    return closed.unionByName(later)

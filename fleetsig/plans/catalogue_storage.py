@@ -443,3 +443,57 @@ def _(spark, sf):
     f = fleet(spark, sf)
     stored = views.data_counters_daily(_stale(f, "2024-01-18 09:00:00"))
     return refresh.realtime(stored, f, views.data_counters_daily, date(2024, 1, 18))
+
+
+# the two metadata sections of an export, written from events and parsed back
+
+
+@register(
+    "io05_xml_enumerations",
+    """SELECT DISTINCT 'I-' || instrument_id AS instrument, 'E' || (k % 10) AS enum_name, 'm' || (k + s.i) AS member_name,
+      k + s.i AS value FROM ev, (VALUES (0), (100)) AS s(i)""",
+)
+def _(spark, sf):
+    k = F.col("k")
+    element = F.concat(
+        F.lit('<Enumeration Name="E'), k % 10, F.lit('" Instrument="I-'), F.col("instrument_id"),
+        F.lit('"><Literal Name="m'), k, F.lit('"> '), k, F.lit(' </Literal><Literal Name="m'), k + 100, F.lit('">'), k + 100,
+        F.lit("</Literal></Enumeration>"),
+    )
+    parsed = F.from_xml(element, schema.XML_ENUMERATION, {"ignoreSurroundingSpaces": "false"})
+    rows = events(spark, sf).select(F.lit("f").alias(xml_export.FILE), parsed.alias("x")).select(xml_export.FILE, "x.*")
+    return xml_export.flatten_enumerations(rows).drop(xml_export.FILE).distinct()
+
+
+@register(
+    "io06_xml_parameters",
+    """SELECT CAST(event_id AS INTEGER) AS param_id, 'S' || (k % 5) AS subsystem, 'C' || (k % 7) AS component, 'p' || k AS param_name,
+      'd' || k AS display_name, NULL::VARCHAR AS display_unit, CASE WHEN k % 2 = 0 THEN 'mm' END AS storage_unit,
+      CASE WHEN k % 3 = 0 THEN 'E' || k END AS enum_name,
+      CASE event_type WHEN 'view' THEN 'int' WHEN 'click' THEN 'bool' WHEN 'purchase' THEN 'float' ELSE 'str' END AS value_type,
+      k AS event_id, 'e' || k AS event_name, CASE WHEN k % 4 <> 0 THEN value END AS abs_min, 100.0::DOUBLE AS abs_max
+    FROM ev""",
+)
+def _(spark, sf):
+    k, kind = F.col("k"), F.col("event_type")
+    exported_type = F.when(kind == "view", "Int").when(kind == "click", "Boolean").when(kind == "purchase", "Float").when(
+        kind == "error", "String"
+    ).otherwise("Unheard")
+    attrs = {
+        "ID": F.col("event_id"), "Name": F.concat(F.lit("p"), k), "DisplayName": F.concat(F.lit("d"), k),
+        "DisplayUnit": F.lit(""), "StorageUnit": F.when(k % 2 == 0, "mm").otherwise(""), "Type": exported_type,
+        "EnumerationName": F.when(k % 3 == 0, F.concat(F.lit("E"), k)), "EventID": k, "EventName": F.concat(F.lit("e"), k),
+        "AbsoluteMinimum": F.when(k % 4 != 0, F.col("value").cast("string")).otherwise(""), "AbsoluteMaximum": F.lit("100"),
+    }
+    text = F.concat_ws(" ", *[
+        F.concat(F.lit(f'{name}="'), value.cast("string"), F.lit('"')) for name, value in attrs.items()
+    ])
+    element = F.concat(
+        F.lit('<Instrument Name="i"><Component Name="S'), k % 5, F.lit('"><Component Name="C'), k % 7, F.lit('"><Parameter '),
+        text, F.lit("/></Component></Component></Instrument>"),
+    )
+    parsed = F.from_xml(element, schema.XML_INSTRUMENT)
+    rows = events(spark, sf).select(
+        F.col("event_id").cast("string").alias(xml_export.FILE), parsed.getField("Component").alias("_tree")
+    )
+    return xml_export.flatten_parameters(rows).drop(xml_export.FILE)

@@ -16,6 +16,7 @@ def spark(tmp_path_factory):
         **{
             "spark.sql.shuffle.partitions": "2",
             "spark.sql.codegen.wholeStage": "false",
+            "spark.sql.adaptive.enabled": "false",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "6g",
