@@ -15,42 +15,38 @@ from fleetsig.plans.registry import register
 
 def sql_sessions(name: str, param: str, subsystem: str) -> str:
     return f"""
-{name}_changes AS (
-  SELECT d.instrument_id, d.param_id, d.time, d.value_num,
-         LAG(d.value_num) OVER (PARTITION BY d.instrument_id, d.param_id ORDER BY d.time) AS prev
-  FROM data d JOIN parameters p USING (instrument_id, param_id)
-  WHERE p.param_name = '{param}' AND p.subsystem = '{subsystem}'),
-{name}_bounds AS (
-  SELECT *, LEAD(time) OVER (PARTITION BY instrument_id, param_id ORDER BY time) AS end_time
-  FROM {name}_changes WHERE value_num <> prev),
+{name}_marks AS (
+  SELECT instrument_id, param_id, time, value_num
+  FROM data JOIN parameters USING (instrument_id, param_id)
+  WHERE param_name = '{param}' AND subsystem = '{subsystem}'
+  QUALIFY value_num <> LAG(value_num) OVER (PARTITION BY instrument_id, param_id ORDER BY time)),
 {name} AS (
-  SELECT instrument_id, param_id, CAST(value_num AS INTEGER) AS session_id, time AS start_time, end_time
-  FROM {name}_bounds WHERE value_num <> 0)"""
+  SELECT m.instrument_id, m.param_id, CAST(m.value_num AS INTEGER) AS session_id, m.time AS start_time,
+         (SELECT MIN(n.time) FROM {name}_marks n
+          WHERE n.instrument_id = m.instrument_id AND n.param_id = m.param_id AND n.time > m.time) AS end_time
+  FROM {name}_marks m WHERE m.value_num <> 0)"""
 
 
 def sql_runs(sessions: str, names: str, subsystem: str, running: str, default: str) -> str:
     return f"""
-state_enum AS (
-  SELECT p.instrument_id, p.param_id,
-         MAX(e.value) FILTER (WHERE e.member_name IN ({running})) AS running_value,
-         COALESCE(MAX(e.value) FILTER (WHERE e.member_name = 'Terminated'), {default}) AS terminated_value
-  FROM parameters p JOIN enum_values e ON e.enum_id = p.enum_id
-  WHERE p.param_name IN ({names}) AND p.subsystem = '{subsystem}'
-    AND e.member_name IN ({running}, 'Terminated')
-  GROUP BY p.instrument_id, p.param_id),
+codes AS (
+  SELECT instrument_id, param_id, MAX(CASE WHEN member_name IN ({running}) THEN value END) AS go,
+         COALESCE(MAX(CASE WHEN member_name = 'Terminated' THEN value END), {default}) AS stop
+  FROM parameters JOIN enum_values USING (enum_id)
+  WHERE param_name IN ({names}) AND subsystem = '{subsystem}' AND member_name IN ({running}, 'Terminated')
+  GROUP BY ALL),
 inside AS (
-  SELECT s.instrument_id, s.session_id, s.start_time, s.end_time, e.running_value, e.terminated_value,
-         d.value_num AS state,
+  SELECT s.*, c.go, c.stop, d.value_num AS state,
          epoch_us(LEAD(d.time) OVER (PARTITION BY s.instrument_id, s.start_time, d.param_id ORDER BY d.time)) - epoch_us(d.time) AS us
   FROM {sessions} s
-  JOIN state_enum e ON e.instrument_id = s.instrument_id
-  JOIN data d ON d.instrument_id = s.instrument_id AND d.param_id = e.param_id
+  JOIN codes c ON c.instrument_id = s.instrument_id
+  JOIN data d ON d.instrument_id = s.instrument_id AND d.param_id = c.param_id
              AND d.time >= s.start_time AND d.time < s.end_time),
 runs AS (
   SELECT instrument_id, session_id, start_time,
          CAST(epoch_us(end_time) - epoch_us(start_time) AS BIGINT) AS total_micros,
-         CAST(SUM(CASE WHEN state = running_value THEN COALESCE(us, 0) ELSE 0 END) AS BIGINT) AS running_micros,
-         BOOL_OR(state = terminated_value) AS has_terminated
+         CAST(COALESCE(SUM(us) FILTER (WHERE state = go), 0) AS BIGINT) AS running_micros,
+         BOOL_OR(state = stop) AS has_terminated
   FROM inside GROUP BY instrument_id, session_id, start_time, end_time)"""
 
 
@@ -232,8 +228,7 @@ def _(spark, sf):
 def sql_tagged(param: str, name: str) -> str:
     return f"""{name} AS (
   SELECT s.instrument_id, s.session_id, s.start_time, d.time, d.value_num,
-         LAG(d.value_num) OVER (PARTITION BY s.instrument_id, s.start_time ORDER BY d.time) AS prev,
-         LEAD(d.value_num) OVER (PARTITION BY s.instrument_id, s.start_time ORDER BY d.time) AS nxt
+         LAG(d.value_num) OVER (PARTITION BY s.instrument_id, s.start_time ORDER BY d.time) AS prev
   FROM tomo_sessions s
   JOIN data d ON d.instrument_id = s.instrument_id AND d.time >= s.start_time AND d.time < s.end_time
   JOIN parameters p ON p.instrument_id = d.instrument_id AND p.param_id = d.param_id
@@ -243,8 +238,7 @@ def sql_tagged(param: str, name: str) -> str:
 RESET1 = f"""{TOMO_SESSIONS}, {sql_tagged('TemImageCount', 'img')},
 img_totals AS (
   SELECT instrument_id, session_id, start_time,
-         COALESCE(SUM(prev) FILTER (WHERE value_num = 1 AND prev IS NOT NULL), 0)
-           + COALESCE(MAX(value_num) FILTER (WHERE nxt IS NULL), 0) AS total
+         COALESCE(SUM(CASE WHEN value_num = 1 THEN prev END), 0) + ARG_MAX(value_num, time) AS total
   FROM img GROUP BY instrument_id, session_id, start_time)"""
 
 
@@ -252,7 +246,7 @@ def sql_reset0(param: str, name: str) -> str:
     return f"""{sql_tagged(param, name)},
 {name}_totals AS (
   SELECT instrument_id, session_id, start_time,
-         COALESCE(SUM(prev) FILTER (WHERE value_num = 0 AND prev IS NOT NULL), 0) AS total
+         COALESCE(SUM(CASE WHEN value_num = 0 THEN prev END), 0) AS total
   FROM {name} GROUP BY instrument_id, session_id, start_time)"""
 
 
@@ -291,22 +285,25 @@ def _(spark, sf):
     return views.tomo_counters(fleet(spark, sf))
 
 
+def sql_list(names) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
 def sql_daily_delta(names: str, out: str) -> str:
-    return f"""SELECT CAST(date_trunc('day', d.time) AS TIMESTAMP) AS day, d.instrument_id, p.param_name,
-         MAX(d.value_num) - MIN(d.value_num) AS {out}
-  FROM data d JOIN parameters p ON d.param_id = p.param_id AND d.instrument_id = p.instrument_id
-  WHERE p.param_name IN ({names}) GROUP BY 1, 2, 3"""
+    return f"""SELECT day, instrument_id, param_name, hi - lo AS {out} FROM (
+      SELECT CAST(date_trunc('day', time) AS TIMESTAMP) AS day, instrument_id, param_name, MAX(value_num) AS hi, MIN(value_num) AS lo
+      FROM parameters JOIN data USING (instrument_id, param_id) WHERE param_name IN ({names}) GROUP BY ALL)"""
 
 
-IMAGES_DAILY = sql_daily_delta("'AcquisitionJobs', 'BM-Falcon-NumberOfAcquisitionJobs', 'AcquisitionNumber'", "daily_images")
-DATA_DAILY = sql_daily_delta("'NumberOffloadedTerabytes', 'BM-Falcon-NumberOffloadedTB'", "daily_terabytes")
-LOADS_DAILY = """SELECT CAST(date_trunc('day', d.time) AS TIMESTAMP) AS day, d.instrument_id,
-         MAX(CASE WHEN p.param_name = 'LoadCartridgeCounter' THEN d.value_num END)
-           - MIN(CASE WHEN p.param_name = 'LoadCartridgeCounter' THEN d.value_num END) AS daily_cartridge_count,
-         MAX(CASE WHEN p.param_name = 'LoadCassetteCounter' THEN d.value_num END)
-           - MIN(CASE WHEN p.param_name = 'LoadCassetteCounter' THEN d.value_num END) AS daily_cassette_count
-  FROM data d JOIN parameters p ON d.param_id = p.param_id AND d.instrument_id = p.instrument_id
-  WHERE p.param_name IN ('LoadCartridgeCounter', 'LoadCassetteCounter') GROUP BY 1, 2"""
+IMAGES_DAILY = sql_daily_delta(sql_list(S.IMAGE_COUNTERS["param_name"]), "daily_images")
+DATA_DAILY = sql_daily_delta(sql_list(S.DATA_COUNTERS["param_name"]), "daily_terabytes")
+_GAINS = ", ".join(
+    f"MAX(value_num) FILTER (WHERE param_name = '{p}') - MIN(value_num) FILTER (WHERE param_name = '{p}') AS {n}"
+    for n, p in S.LOAD_COUNTERS.items()
+)
+LOADS_DAILY = f"""SELECT CAST(date_trunc('day', time) AS TIMESTAMP) AS day, instrument_id, {_GAINS}
+  FROM parameters JOIN data USING (instrument_id, param_id)
+  WHERE param_name IN ({sql_list(S.LOAD_COUNTERS.values())}) GROUP BY ALL"""
 
 
 @register("an17_image_counters_daily", IMAGES_DAILY)
@@ -325,14 +322,13 @@ def _(spark, sf):
 
 
 TEM_OFF = """
-server_events AS (
-  SELECT d.instrument_id, d.time, d.value_num,
-         LEAD(d.time) OVER (PARTITION BY d.instrument_id ORDER BY d.time) AS next_time
-  FROM data d JOIN parameters p USING (instrument_id, param_id)
-  WHERE p.component = 'Server' AND p.param_name = 'Value'),
+beats AS (
+  SELECT instrument_id, time, value_num FROM data JOIN parameters USING (instrument_id, param_id)
+  WHERE component = 'Server' AND param_name = 'Value'),
 tem_off AS (
-  SELECT instrument_id, time AS start_time, next_time AS end_time
-  FROM server_events WHERE value_num = 0 AND next_time IS NOT NULL)"""
+  SELECT b.instrument_id, b.time AS start_time, MIN(c.time) AS end_time
+  FROM beats b JOIN beats c ON c.instrument_id = b.instrument_id AND c.time > b.time
+  WHERE b.value_num = 0 GROUP BY b.instrument_id, b.time)"""
 
 
 @register("an20_off_periods", f"{TEM_OFF} SELECT * FROM tem_off")
@@ -340,21 +336,20 @@ def _(spark, sf):
     return views.tem_off(fleet(spark, sf))
 
 
-CLASSES = """
+_CASES = " ".join(f"WHEN e.member_name IN ({sql_list(m)}) THEN '{c}'" for c, m in S.VACUUM_CLASSES.items())
+CLASSES = f"""
 classes AS (
-  SELECT p.instrument_id, p.param_id, e.member_name, e.value,
-         CASE WHEN e.member_name IN ('ColumnConditioning', 'Column Conditioning', 'TMPmOnColumn', 'CryoCycle',
-                                     'Cryo Cycle', 'CryoCycle_Time', 'CryoCycle_Delay') THEN 'cryocycle'
-              WHEN e.member_name IN ('All Vacuum [Closed]', 'AllVacuumColumnValvesClosed', 'AllVacuum_LinersClosed') THEN 'closed'
-              WHEN e.member_name IN ('All Vacuum [Opened]', 'AllVacuumColumnValvesOpened', 'AllVacuum_LinersOpened') THEN 'open'
-              ELSE 'unknown' END AS state
-  FROM parameters p JOIN enum_values e ON e.enum_id = p.enum_id WHERE p.param_name = 'VacuumState')"""
+  SELECT p.instrument_id, p.param_id, e.member_name, e.value, CASE {_CASES} ELSE 'unknown' END AS state
+  FROM parameters p JOIN enum_values e USING (enum_id) WHERE p.param_name = 'VacuumState')"""
 KNOWN = f"""{CLASSES},
-known AS (
-  SELECT d.instrument_id, c.state, d.time AS start_time,
-         LEAD(d.time) OVER (PARTITION BY d.instrument_id ORDER BY d.time) AS end_time
+labelled AS (
+  SELECT d.instrument_id, c.state, d.time AS start_time
   FROM data d JOIN classes c ON c.instrument_id = d.instrument_id AND c.param_id = d.param_id AND c.value = d.value_num
-  WHERE c.state IN ('cryocycle', 'closed', 'open'))"""
+  WHERE c.state <> 'unknown'),
+known AS (
+  SELECT l.*, (SELECT MIN(m.start_time) FROM labelled m
+               WHERE m.instrument_id = l.instrument_id AND m.start_time > l.start_time) AS end_time
+  FROM labelled l)"""
 CLEAN = f"""{KNOWN}, {TEM_OFF},
 clean AS (
   SELECT k.* FROM known k
@@ -362,15 +357,17 @@ clean AS (
     SELECT 1 FROM tem_off o WHERE o.instrument_id = k.instrument_id
       AND k.start_time < o.end_time AND k.end_time > o.start_time)),
 all_states AS (
-  SELECT instrument_id, state, start_time, end_time FROM clean
-  UNION ALL SELECT instrument_id, 'off', start_time, end_time FROM tem_off)"""
+  SELECT instrument_id, 'off' AS state, start_time, end_time FROM tem_off
+  UNION ALL BY NAME SELECT * FROM clean)"""
 SPLIT = f"""{CLEAN},
+calendar AS (
+  SELECT CAST(UNNEST(generate_series(date_trunc('day', MIN(time)), MAX(time), INTERVAL 1 DAY)) AS TIMESTAMP) AS midnight FROM data),
 split AS (
-  SELECT instrument_id, state, CAST(gs AS DATE) AS day, GREATEST(start_time, gs) AS interval_start,
-         LEAST(end_time, gs + INTERVAL 1 DAY) AS interval_end
-  FROM (SELECT *, UNNEST(generate_series(date_trunc('day', start_time)::TIMESTAMP,
-                                         date_trunc('day', end_time)::TIMESTAMP, INTERVAL 1 DAY)) AS gs
-        FROM all_states WHERE start_time < end_time))"""
+  SELECT a.instrument_id, a.state, CAST(c.midnight AS DATE) AS day,
+         CASE WHEN a.start_time > c.midnight THEN a.start_time ELSE c.midnight END AS interval_start,
+         CASE WHEN a.end_time < c.midnight + INTERVAL 1 DAY THEN a.end_time ELSE c.midnight + INTERVAL 1 DAY END AS interval_end
+  FROM all_states a JOIN calendar c ON c.midnight <= a.end_time AND c.midnight + INTERVAL 1 DAY > a.start_time
+  WHERE a.end_time > a.start_time)"""
 OCCUPANCY = f"""{SPLIT},
 vacuum_state_daily AS (
   SELECT instrument_id, state, day,

@@ -382,7 +382,7 @@ def _log(spark, sf):
     )
     return ev.select(
         F.col("time").alias("log_time"),
-        F.lit("grafana").alias("user_name"),
+        F.lit("report").alias("user_name"),
         F.lit("db").alias("database_name"),
         F.when(k % 11 == 0, "WARNING").otherwise("LOG").alias("error_severity"),
         F.when(F.col("event_type") == "error", vacuum).when(F.col("event_type") == "click", plan).otherwise(F.lit("noise")).alias("message"),
@@ -411,7 +411,7 @@ plans AS (
 
 @register("cs11_plan_log", f"{PLANS_SQL} SELECT * FROM plans")
 def _(spark, sf):
-    return snapshots.logged_plans(_log(spark, sf), "db", "grafana").drop("plan")
+    return snapshots.logged_plans(_log(spark, sf), "db", "report").drop("plan")
 
 
 @register(
@@ -419,7 +419,7 @@ def _(spark, sf):
     f"{PLANS_SQL} SELECT *, ROUND(io_read_time / duration * 100.0, 6) AS io_read_pct FROM plans",
 )
 def _(spark, sf):
-    out = snapshots.slow_plans(snapshots.logged_plans(_log(spark, sf), "db", "grafana").drop("plan"))
+    out = snapshots.slow_plans(snapshots.logged_plans(_log(spark, sf), "db", "report").drop("plan"))
     return _six(out, "io_read_pct")
 
 

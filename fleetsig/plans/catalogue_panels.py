@@ -39,10 +39,13 @@ def _(spark, sf):
 
 @register(
     "dq02_occupancy_share",
-    f"""{OCCUPANCY}
-    SELECT instrument_id, state, SUM(CAST(ROUND(seconds * 1e6) AS BIGINT)) / 1e6::DOUBLE AS duration_seconds,
-      ROUND(100.0 * SUM(seconds) / NULLIF(SUM(SUM(seconds)) OVER (PARTITION BY instrument_id), 0), 2) AS percentage
-    FROM vacuum_state_daily WHERE day {RANGE} GROUP BY instrument_id, state""",
+    f"""{OCCUPANCY},
+    parts AS (
+      SELECT instrument_id, state, SUM(CAST(ROUND(seconds * 1e6) AS BIGINT)) / 1e6::DOUBLE AS duration_seconds
+      FROM vacuum_state_daily WHERE day {RANGE} GROUP BY ALL),
+    totals AS (SELECT instrument_id, SUM(duration_seconds) AS total FROM parts GROUP BY ALL)
+    SELECT instrument_id, state, duration_seconds, ROUND(duration_seconds * 100.0 / total, 2) AS percentage
+    FROM parts JOIN totals USING (instrument_id)""",
 )
 def _(spark, sf):
     return D.occupancy_share(views.vacuum_state_daily(fleet(spark, sf)), FROM, TO)
@@ -77,9 +80,9 @@ def _(spark, sf):
 
 
 def _load_sql(column: str) -> str:
-    return f"""lcd AS ({LOADS_DAILY})
-    SELECT lcd.day AS time, i.name AS instrument, lcd.{column} AS value
-    FROM lcd JOIN instruments i ON i.id = lcd.instrument_id WHERE lcd.day {RANGE}"""
+    return f"""loads AS ({LOADS_DAILY})
+    SELECT i.name AS instrument, day AS time, {column} AS value
+    FROM instruments i JOIN loads ON instrument_id = i.id WHERE day {RANGE}"""
 
 
 @register("dq05_daily_cartridges", _load_sql("daily_cartridge_count"))
@@ -113,8 +116,8 @@ def _(spark, sf):
 
 @register(
     "dq07_off_annotations",
-    f"""{TEM_OFF} SELECT o.start_time AS time, o.end_time AS "timeEnd", t.name || ' OFF' AS title,
-      'TEM server offline' AS text FROM tem_off o JOIN instruments t ON o.instrument_id = t.id""",
+    f"""{TEM_OFF} SELECT concat(i.name, ' OFF') AS title, 'TEM server offline' AS text, start_time AS time, end_time AS "timeEnd"
+      FROM instruments i JOIN tem_off ON instrument_id = i.id""",
 )
 def _(spark, sf):
     f = fleet(spark, sf)

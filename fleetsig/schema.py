@@ -40,12 +40,14 @@ PARAMETERS = _struct(
 ENUM_TYPES = _struct("id INT, instrument_id INT, name STRING")
 ENUM_VALUES = _struct("enum_id INT, member_name STRING, value INT")
 
+# Column names of the remote alarm tables.
 ALARM_DEFINITIONS = _struct(
     "ErrorDefinitionID INT, SubsystemID INT, Subsystem STRING, DeviceTypeID INT, DeviceType STRING, "
     "DeviceInstanceID INT, DeviceInstance STRING, ErrorCodeID INT, ErrorCode STRING"
 )
 ALARM_NOTIFICATIONS = _struct("ErrorDtm TIMESTAMP, ErrorDefinitionID INT, MessageText STRING")
 
+# The columns of the database server's CSV log.
 SERVER_LOG = _struct(
     "log_time TIMESTAMP, user_name STRING, database_name STRING, process_id INT, "
     "connection_from STRING, session_id STRING, session_line_num BIGINT, command_tag STRING, "
@@ -55,7 +57,7 @@ SERVER_LOG = _struct(
     "location STRING, application_name STRING, backend_type STRING, leader_pid INT, query_id BIGINT"
 )
 
-# rows of an XML export, one struct per ValueData / Enumeration / Instrument element
+# Element and attribute names of an XML export, one struct per ValueData / Enumeration / Instrument element
 XML_VALUE_DATA = (
     "_ParameterID INT, ParameterValues STRUCT<ParameterValue: "
     "ARRAY<STRUCT<_Timestamp: STRING, Value: STRING>>>"

@@ -89,8 +89,8 @@ def test_server_log_file(spark, tmp_path):
     log = tmp_path / "log.csv"
     log.write_text(
         line.format(user="", n=1, msg=vacuum, backend="autovacuum worker", q="")
-        + line.format(user="grafana", n=2, msg=f"duration: 700.25 ms  plan:\n{plan}", backend="client backend", q=42)
-        + line.format(user="grafana", n=3, msg="noise", backend="client backend", q="")
+        + line.format(user="report", n=2, msg=f"duration: 700.25 ms  plan:\n{plan}", backend="client backend", q=42)
+        + line.format(user="report", n=3, msg="noise", backend="client backend", q="")
     )
     from fleetsig.sources.tabular import read_server_log
 
@@ -100,5 +100,5 @@ def test_server_log_file(spark, tmp_path):
     assert got(runs, "relation", "started_at", "finished_at", "index_scans", "pages_removed", "tuples_removed", "tuples_remain", "wraparound") == [
         ("public.data", 1.0, 2.5, 2, 7, 11, 13, False)
     ]
-    plans = snapshots.slow_plans(snapshots.logged_plans(df, "db", "grafana"))
+    plans = snapshots.slow_plans(snapshots.logged_plans(df, "db", "report"))
     assert got(plans, "queryid", "duration", "total_cost", "bytes_read", "io_read_time") == [(42, 700.25, 12.5, 24576, 0.5)]
