@@ -102,21 +102,26 @@ def batch(spark: SparkSession, paths: Sequence[str], registry_path: str, root: s
     return import_files(spark, paths, tabular.read_registry(spark, registry_path), Lake(spark, root))
 
 
-def poll(spark: SparkSession, directory: str, registry: DataFrame, lake: Lake) -> list[str]:
-    """Import the files that are new or were overwritten since they were last imported.
+def poll(spark: SparkSession, directory: str, registry: DataFrame, lake: Lake, files_per_batch: int = 64) -> list[str]:
+    """Import the files that are new or were overwritten since they were last imported; returns their names.
 
-    The exporter rewrites its files in place, so files are remembered with their modification time.
+    The exporter rewrites its files in place, so files are remembered with their modification time. They are
+    taken in groups, each remembered when it is done, until none is left.
     """
-    listed = (
-        spark.read.format("binaryFile").option("pathGlobFilter", GLOB).load(directory).select("path", "modificationTime")
-    )
-    done = lake.log("imported_files", _FILE_LOG)
-    fresh = listed.join(done, ["path", "modificationTime"], "left_anti").collect()
-    if fresh:
-        paths = sorted(r["path"] for r in fresh)
+    imported: list[str] = []
+    while True:
+        listed = (
+            spark.read.format("binaryFile").option("pathGlobFilter", GLOB).load(directory).select("path", "modificationTime")
+        )
+        done = lake.log("imported_files", _FILE_LOG)
+        waiting = listed.join(done, ["path", "modificationTime"], "left_anti")
+        group = waiting.orderBy("modificationTime", "path").limit(files_per_batch).collect()
+        if not group:
+            return imported
+        paths = sorted(r["path"] for r in group)
         import_files(spark, paths, registry, lake, strict=False)
-        lake.append("imported_files", spark.createDataFrame(fresh, _FILE_LOG))
-    return sorted(r["path"] for r in fresh)
+        lake.append("imported_files", spark.createDataFrame(group, _FILE_LOG))
+        imported += paths
 
 
 def stream(

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +71,7 @@ def stream_sessions(spark: SparkSession, samples: DataFrame, out: str, checkpoin
         closed, after = advance(state, batch, keep=keep)
         after.write.mode("overwrite").parquet(f"{checkpoint}/state/{batch_id}")
         closed.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        _forget(session, f"{checkpoint}/state/{batch_id - 2}")
 
     return (
         samples.writeStream.foreachBatch(run)
@@ -82,9 +82,10 @@ def stream_sessions(spark: SparkSession, samples: DataFrame, out: str, checkpoin
 
 
 def _state(spark: SparkSession, checkpoint: str, batch_id: int) -> DataFrame | None:
-    if batch_id < 0:
-        return None
-    try:
-        return spark.read.parquet(f"{checkpoint}/state/{batch_id}")
-    except AnalysisException:
-        return None
+    """State left by a micro-batch; only the very first one has none before it."""
+    return None if batch_id < 0 else spark.read.parquet(f"{checkpoint}/state/{batch_id}")
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
