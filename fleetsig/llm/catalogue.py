@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetsig.llm import simhash
+from fleetsig.llm import ann, langid, lines, simhash, urls
 from fleetsig.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,83 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+# (host, path, verdict): the list the query is judged by
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+OP1_SQL = f"""
+WITH rules(host, path, verdict) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut),
+parts AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path
+  FROM hosts
+),
+hits AS (
+  SELECT p.page_id, r.host || r.path AS rule, r.verdict,
+         row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) AS n
+  FROM parts p JOIN rules r
+    ON (p.host = r.host OR suffix(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+)
+SELECT p.page_id, p.host, p.path, h.rule, coalesce(h.verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN hits h ON h.page_id = p.page_id AND h.n = 1
+"""
+
+
+@register("op1_url_filter", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge_urls(table(spark, sf_dir, "pages"), rules).withColumnRenamed("page", "page_id")
+
+
+OP4_SQL = """
+WITH split AS (
+  SELECT doc_id, generate_subscripts(lines, 1) AS pos, unnest(lines) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
+),
+keyed AS (
+  SELECT doc_id, pos, line,
+         translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM split
+),
+shared AS (
+  SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+),
+judged AS (
+  SELECT x.doc_id, x.pos, x.line, s.k IS NOT NULL AND x.doc_id <> s.keeper AS lost
+  FROM keyed x LEFT JOIN shared s ON s.k = x.k
+)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN lost THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+@register("op4_line_dedup", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), into="kept", counts=True)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@register("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs)).withColumnRenamed("key", "doc_id")
+
+
+@register("op10_nearest_neighbours")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = ann.nearest(vectors.where("vec_id % 20 = 0"), vectors, k=20)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("neighbour").alias("vec_id"), "score")
