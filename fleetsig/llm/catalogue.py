@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetsig.llm import ann, langid, lines, simhash, urls
+from fleetsig.llm import ann, decontam, langid, lines, mixing, quality, simhash, suffixes, templates, urls
 from fleetsig.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,41 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     found = ann.nearest(vectors.where("vec_id % 20 = 0"), vectors, k=20)
     return found.select(F.col("query").alias("query_id"), "rank", F.col("neighbour").alias("vec_id"), "score")
+
+
+@register("op2_quality_classifier")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumnRenamed("key", "doc_id")
+
+
+@register("op5_suffix_array_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeated_spans(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select(
+        F.col("doc").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@register("op6_html_extraction")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(table(spark, sf_dir, "pages")).withColumnRenamed("page", "page_id")
+
+
+@register("op7_benchmark_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id", "start": "start_word", "end": "end_word"})
+
+
+@register("op8_mix_sources", mixing.sql())
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    dims = mixing.dimensions()
+    drawn = mixing.calibrated(docs.withColumn("topic", dims["topic"]), dims)
+    return drawn.select(
+        "doc_id", "source", "lang", "topic", F.col("__tokens").alias("tokens"), F.round("__p", 9).alias("probability"),
+        F.col("__sampled").alias("sampled"),
+    )
