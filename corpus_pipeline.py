@@ -24,8 +24,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that three documents share stay in the last of them; documents left without text go."""
-    kept = lines.dedup_lines(docs, into="text").where(F.col("text").rlike(r"\S"))
+    """Lines that three documents share stay in the last of them; a document may be left empty, but stays."""
+    kept = lines.dedup_lines(docs, into="text")
     counted = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
     return kept.withColumns(counted).select(*docs.columns)
 
