@@ -124,7 +124,7 @@ def _choose(docs: DataFrame, text: str, items: list[tuple], n: int, rare: float)
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
-    """Best Smith-Waterman score of two word sequences and the end of that alignment in ``words``."""
+    """Best Smith-Waterman score of two word sequences and the first end of such an alignment in ``words``."""
     row, best, end = np.zeros(len(words) + 1, np.int64), 0, 0
     slope = np.arange(len(words) + 1) * _GAP
     for w in item:
@@ -133,7 +133,7 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
         new[1:] = np.maximum(np.maximum(row[:-1] + step, row[1:] + _GAP), 0)
         row = np.maximum.accumulate(new - slope) + slope  # gaps in the item
         top = int(row.argmax())
-        if row[top] > best:
+        if (row[top], -top) > (best, -end):
             best, end = int(row[top]), top
     return best, end
 
