@@ -52,19 +52,15 @@ def resolve_signal(
     return resolved.withColumn("param_id", F.coalesce("param_id", F.lit(default)))
 
 
-# Up to this many parameter ids are handed to the scan as a filter; with more the join alone selects.
-_PUSHED_IDS = 1000
-
-
 def with_ids_of(data: DataFrame, dim: DataFrame) -> DataFrame:
-    """Samples whose parameter id occurs in ``dim``.
+    """Samples whose parameter id lies between the smallest and the largest one of ``dim``.
 
-    The ids come from metadata and are few, so they are looked up first and reach the scan as a pushed
-    filter: stored events are sorted by parameter, so whole row groups and pages are skipped. The join that
+    The two bounds are scalar subqueries: nothing runs while the frame is built, and any number of ids is one range that
+    reaches the scan. Stored events are sorted by parameter, so row groups and pages outside it are skipped. The join that
     follows still decides; this only spares reading.
     """
-    ids = [r[0] for r in dim.select("param_id").distinct().limit(_PUSHED_IDS + 1).collect()]
-    return data.where(F.col("param_id").isin(ids)) if len(ids) <= _PUSHED_IDS else data
+    bounds = dim.agg(F.min("param_id").alias("_lo"), F.max("param_id").alias("_hi"))
+    return data.where(F.col("param_id").between(bounds.select("_lo").scalar(), bounds.select("_hi").scalar()))
 
 
 def select_signals(

@@ -42,6 +42,15 @@ def slice_start(slice_id: str | Column) -> Column:
     return F.timestamp_micros(col(slice_id) * F.lit(slice_width()))
 
 
+def _summed(cut: DataFrame, columns: Sequence[str], group: Sequence[str], ts: str, sums: Sequence[Column]) -> DataFrame:
+    """Slice summaries from the rows as they are shuffled for their order.
+
+    Reading every column keeps the shuffle below the same one as that of the rows, so it is made once and used twice.
+    """
+    whole = F.max_by(F.struct(*columns), ts).alias("_whole")
+    return cut.groupBy(*group).agg(whole, *sums).where(F.col("_whole").isNotNull())
+
+
 def neighbours(
     df: DataFrame,
     key: Sequence[str],
@@ -54,17 +63,8 @@ def neighbours(
     ``prev`` and ``next`` map new column names to existing ones.
     """
     prev, next = dict(prev or {}), dict(next or {})
-    cut = sliced(df, key, ts)
     group = [*key, SLICE]
-
-    last = [(F.max(c) if c == ts else F.max_by(c, ts)).alias(f"_last_{n}") for n, c in prev.items()]
-    first = [(F.min(c) if c == ts else F.min_by(c, ts)).alias(f"_first_{n}") for n, c in next.items()]
-    across = Window.partitionBy(*key).orderBy(SLICE)
-    edges = cut.groupBy(*group).agg(*last, *first).select(
-        *group,
-        *[F.lag(f"_last_{n}").over(across).alias(f"_edge_{n}") for n in prev],
-        *[F.lead(f"_first_{n}").over(across).alias(f"_edge_{n}") for n in next],
-    )
+    cut = sliced(df, key, ts).repartition(*group)
 
     inside = Window.partitionBy(*group).orderBy(ts)
     added = {n: F.lag(c).over(inside) for n, c in prev.items()}
@@ -73,6 +73,14 @@ def neighbours(
         added["_is_first"] = F.lag(ts).over(inside).isNull()
     if next:
         added["_is_last"] = F.lead(ts).over(inside).isNull()
+    last = [F.max_by(c, ts).alias(f"_last_{n}") for n, c in prev.items()]
+    first = [F.min_by(c, ts).alias(f"_first_{n}") for n, c in next.items()]
+    across = Window.partitionBy(*key).orderBy(SLICE)
+    edges = _summed(cut, df.columns, group, ts, [*last, *first]).select(
+        *group,
+        *[F.lag(f"_last_{n}").over(across).alias(f"_edge_{n}") for n in prev],
+        *[F.lead(f"_first_{n}").over(across).alias(f"_edge_{n}") for n in next],
+    )
     joined = cut.withColumns(added).join(edges, group)
     fixed = {n: F.when(F.col("_is_first"), F.col(f"_edge_{n}")).otherwise(F.col(n)) for n in prev}
     fixed |= {n: F.when(F.col("_is_last"), F.col(f"_edge_{n}")).otherwise(F.col(n)) for n in next}
@@ -92,26 +100,20 @@ def running(
     ``order`` names the columns breaking ties of ``ts``.
     """
     maxima, sums = dict(maxima or {}), dict(sums or {})
-    cut = sliced(df, key, ts)
     group = [*key, SLICE]
+    cut = sliced(df, key, ts).repartition(*group)
     before = Window.partitionBy(*key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    edges = (
-        cut.groupBy(*group)
-        .agg(
-            *[F.max(c).alias(f"_all_{n}") for n, c in maxima.items()],
-            *[F.sum(c).alias(f"_all_{n}") for n, c in sums.items()],
-        )
-        .select(
-            *group,
-            *[F.max(f"_all_{n}").over(before).alias(f"_edge_{n}") for n in maxima],
-            *[F.sum(f"_all_{n}").over(before).alias(f"_edge_{n}") for n in sums],
-        )
-    )
     inside = (
         Window.partitionBy(*group).orderBy(ts, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     added = {f"_in_{n}": F.max(c).over(inside) for n, c in maxima.items()}
     added |= {f"_in_{n}": F.sum(c).over(inside) for n, c in sums.items()}
+    whole = [F.max(c).alias(f"_all_{n}") for n, c in maxima.items()] + [F.sum(c).alias(f"_all_{n}") for n, c in sums.items()]
+    edges = _summed(cut, df.columns, group, ts, whole).select(
+        *group,
+        *[F.max(f"_all_{n}").over(before).alias(f"_edge_{n}") for n in maxima],
+        *[F.sum(f"_all_{n}").over(before).alias(f"_edge_{n}") for n in sums],
+    )
     joined = cut.withColumns(added).join(edges, group)
     return joined.select(
         *df.columns,
