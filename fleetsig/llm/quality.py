@@ -83,7 +83,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if need is not None:
             need.merge()
             for k in range(ORDER, 0, -1):
-                code = _tagged(np.unique(_shorter(need.keys, k)), k)
+                code = np.unique(_shorter(need.keys, k))
+                code = _tagged(np.append(code, (1 << (8 * k)) - 1), k)  # and the beginning, which is a context only
                 yield _rows(_NEED, at, code, np.ones(len(code), np.int64))
 
     for part in batches:
@@ -164,7 +165,10 @@ def train_model(counted: DataFrame) -> DataFrame:
         known = materialise(known, "level")
         if k < ORDER:
             left = backs[k + 1].select(F.col("context").alias("gram"), (F.col("mass") / F.col("total")).alias("back"))
-            level = known.join(left, "gram", "left").select("gram", "p", F.coalesce("back", F.lit(1.0)).alias("back"))
+            # a beginning is a context but no gram
+            level = known.join(left, "gram", "full").select(
+                "gram", F.coalesce("p", F.lit(1.0)).alias("p"), F.coalesce("back", F.lit(1.0)).alias("back")
+            )
         else:
             level = known.select("gram", "p", F.lit(1.0).alias("back"))
         model = model.unionAll(level)
