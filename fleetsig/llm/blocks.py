@@ -3,20 +3,43 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from fleetsig.llm.shared import width
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 BLOCK_BYTES = 24_000_000
 
 
-def count_blocks(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> int:
-    """Enough blocks for the text and for every task of a shuffle to have work."""
+def count_blocks(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES, least: int = 1) -> int:
+    """Blocks of about ``block_bytes`` of text, ``least`` at least."""
     total = docs.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
-    return max(width(docs.sparkSession), math.ceil(total / block_bytes))
+    return max(least, math.ceil(total / block_bytes))
+
+
+def compressed(docs: DataFrame, text: str, into: str) -> DataFrame:
+    """``docs`` with the text as compressed bytes, which a shuffle moves at two thirds of its own compression; null is empty."""
+    kept = [c for c in docs.columns if c != text]
+    schema = StructType([*[docs.schema[c] for c in kept], StructField(into, BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for part in batches:
+            data = pa.array([pack((t.as_py() or "").encode()) for t in part.column(len(kept))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], data], [*kept, into])
+
+    return docs.select(*kept, text).mapInArrow(run, schema)
+
+
+def unpacked(column) -> Iterator[np.ndarray]:
+    """The bytes of each compressed text."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for value in column:
+        yield np.frombuffer(unpack(value.as_py()), np.uint8) if value.is_valid else np.zeros(0, np.uint8)
 
 
 def block_of(key: Column, text: Column, n: int) -> Column:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetsig.llm.blocks import as_bytes, block_of, count_blocks
+from fleetsig.llm.blocks import block_of, compressed, count_blocks, unpacked
 from fleetsig.llm.shared import materialise
 
 ORDER = 5
@@ -26,6 +26,7 @@ _BEGIN = 0xFF  # no byte of UTF-8
 _LENGTH = 40  # a gram's length stands above its bytes
 _HELD = 1 << 22
 _NEED, _TRAIN = 0, 1
+_BLOCK_BYTES = 40_000_000
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -90,7 +91,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in batches:
         blocks, kinds, keys = (part.column(i).to_pylist() for i in range(3))
         folds = part.column(3).to_pylist()
-        for block, kind, key, fold, data in zip(blocks, kinds, keys, folds, as_bytes(part.column(5))):
+        for block, kind, key, fold, data in zip(blocks, kinds, keys, folds, unpacked(part.column(5))):
             if block != at:
                 yield from close()
                 at, need, trusted = block, _Counts(), set()
@@ -214,7 +215,7 @@ def _score(unseen: float):
         kinds, keys, folds, langs = (docs.column(c).to_pylist() for c in ("kind", "key", "fold", "lang"))
         trusted = {key for kind, key in zip(kinds, keys) if kind == 0}
         rows = []
-        for kind, key, fold, lang, data in zip(kinds, keys, folds, langs, as_bytes(docs.column("text"))):
+        for kind, key, fold, lang, data in zip(kinds, keys, folds, langs, unpacked(docs.column("data"))):
             if kind:
                 code = grams(data)
                 total = sum(float(model.log_probability(code[at : at + _HELD]).sum()) for at in range(0, len(data), _HELD))
@@ -241,14 +242,17 @@ def judge(
     ids are scored but never trusted; repeated rows are kept. All text is scored, whole, and no count is cut off.
     """
     spark = docs.sparkSession
-    n = count_blocks(docs, text)
+    n = count_blocks(docs, text, _BLOCK_BYTES)
     fold = F.pmod(F.xxhash64("key", F.lit("fold")), F.lit(FOLDS)) != 0
-    own = docs.select(F.lit(1).alias("kind"), F.col(key).cast("long").alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    own = docs.select(F.col(key).cast("long").alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    own = own.select(block_of(F.col("key"), F.col("text"), n).alias("block"), F.lit(1).alias("kind"), "key", "lang", "text")
     good = labels.where((F.col(quality) == 1) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key")).distinct()
-    none = F.lit(None).cast("string")
-    both = own.unionAll(good.select(F.lit(0).alias("kind"), "key", none.alias("lang"), none.alias("text")))
-    dealt = both.select(block_of(F.col("key"), F.col("text"), n).alias("block"), "kind", "key", F.coalesce(fold, F.lit(True)).alias("fold"), "lang", "text")
-    dealt = dealt.repartition(n, "block")
+    good = good.select(
+        block_of(F.col("key"), F.lit(""), n).alias("block"), F.lit(0).alias("kind"), "key", F.lit(None).cast("string").alias("lang"),
+        F.lit(None).cast("binary").alias("data"),
+    )
+    both = compressed(own, "text", "data").unionAll(good)
+    dealt = both.select("block", "kind", "key", F.coalesce(fold, F.lit(True)).alias("fold"), "lang", "data").repartition(n, "block")
     gathered = materialise(dealt.sortWithinPartitions("block", "kind").mapInArrow(_gather, _GRAM), "grams")
     model = materialise(train_model(gathered.where(F.col("kind") == _TRAIN).select("gram", "n")), "model")
     unseen = model.where("gram = 0").first().p

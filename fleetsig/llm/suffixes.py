@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetsig.llm.blocks import as_bytes, block_of, count_blocks
-from fleetsig.llm.shared import materialise
+from fleetsig.llm.shared import materialise, width
 
 LENGTH = 50
 _PIECE = 24
@@ -352,7 +352,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     """
     if length < _PIECE + 1 or length + _STRAND > 256:
         raise ValueError(f"length must be {_PIECE + 1} to {256 - _STRAND}")
-    n = count_blocks(docs, text)
+    n = count_blocks(docs, text, least=width(docs.sparkSession))
     named = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("doc"), F.col(text).alias("text"))
     null = F.when(F.col("doc") != _NO_ID, F.col("doc"))
     dealt = named.select(block_of(null, F.col("text"), n).alias("block"), "doc", "text").repartition(n, "block")
