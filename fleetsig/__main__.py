@@ -22,12 +22,18 @@ def parser() -> argparse.ArgumentParser:
     one = sub.add_parser("import", help="import XML exports")
     one.add_argument("-i", "--input", nargs="+", required=True)
     one.add_argument("-s", "--settings", required=True, help="instrument registry (JSON)")
+    one.add_argument("--rejects", help="folder for the full list of refused values (CSV)")
     watch = sub.add_parser("watch", help="import files as they appear in a folder")
     watch.add_argument("-i", "--input", required=True)
     watch.add_argument("-s", "--settings", required=True)
-    watch.add_argument("-t", "--interval", default="5 minutes")
+    watch.add_argument("-t", "--interval", type=float, default=300, help="seconds between polls")
+    watch.add_argument("--settle", type=float, default=10, help="seconds a file must stay unchanged before it is read")
     watch.add_argument("--once", action="store_true", help="import what is new or modified and stop")
     sub.add_parser("create-stats", help="recompute all derived tables")
+    vacuum = sub.add_parser("vacuum", help="remove replaced versions of tables")
+    vacuum.add_argument("--days", type=float, default=7, help="keep what was replaced more recently")
+    compact = sub.add_parser("compact", help="merge the files of event days")
+    compact.add_argument("--day", type=parse_day, nargs="*", help="DD-MM-YYYY; all days if none is given")
     sub.add_parser("refresh-stats", help="recompute the recent day buckets")
     clean = sub.add_parser("clean-inst", help="delete an instrument, or its older events")
     clean.add_argument("-i", "--instrument", type=int, required=True)
@@ -41,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+# Table and column names of the alarm store.
 ALARM_TABLES = {
     "subsystem": "SubsystemID INT, IdentifyingName STRING",
     "device_type": "DeviceTypeID INT, IdentifyingName STRING",
@@ -72,14 +79,19 @@ def main(argv: list[str] | None = None) -> None:
     lake = Lake(spark, args.lake)
     if args.command == "import":
         result = ingest.batch(spark, args.input, args.settings, args.lake)
-        unknown = result.rejects.groupBy("param_id").agg(F.sum("rejected").alias("values"))
-        unknown.orderBy(F.desc("values")).show(20)
+        for row in result.rejects.groupBy("reason").agg(F.sum("rejected").alias("n")).orderBy("reason").toLocalIterator():
+            print(f"{row.reason}: {row.n} values")
+        if args.rejects:
+            tabular.export_csv(result.rejects, args.rejects)
     elif args.command == "watch":
-        registry = tabular.read_registry(spark, args.settings)
-        if args.once:
-            print("\n".join(ingest.poll(spark, args.input, registry, lake)))
-        else:
-            ingest.stream(spark, args.input, registry, lake, every=args.interval).awaitTermination()
+        ingest.watch(
+            spark, args.input, lambda: tabular.read_registry(spark, args.settings), lake, args.interval,
+            settle_seconds=0 if args.once else args.settle, rounds=1 if args.once else None,
+        )
+    elif args.command == "vacuum":
+        print("\n".join(lake.vacuum(args.days * 86_400)))
+    elif args.command == "compact":
+        lake.compact(args.day or None)
     elif args.command == "create-stats":
         refresh.refresh_all(lake)
     elif args.command == "refresh-stats":

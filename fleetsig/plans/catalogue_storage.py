@@ -111,6 +111,17 @@ def _(spark, sf):
     return rejects.groupBy("instrument_id", "param_id").agg(F.count("*").alias("rejected"))
 
 
+@register(
+    "io03_unconverted_values",
+    f"""{TYPED_SQL} SELECT instrument_id, param_id, 'value' AS reason, CAST(COUNT(*) AS BIGINT) AS refused
+    FROM raw JOIN ({KNOWN_PARAMS}) USING (instrument_id, param_id)
+    WHERE (event_type = 'view' AND k % 10 = 3) OR (event_type = 'signup' AND k % 10 = 4) GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    lost = xml_export.unconverted(_parsed(spark, sf))
+    return lost.groupBy("instrument_id", "param_id", "reason").agg(F.count("*").alias("refused"))
+
+
 @register("io04_utc_instants", "SELECT event_id, time FROM ev")
 def _(spark, sf):
     ev = events(spark, sf)
@@ -240,6 +251,9 @@ def _(spark, sf):
     UNION ALL SELECT 'instruments', id, COUNT(*) FROM instruments WHERE id <> 7 GROUP BY 2
     UNION ALL SELECT 'enum_types', instrument_id, COUNT(*) FROM enum_types WHERE instrument_id <> 7 GROUP BY 2
     UNION ALL SELECT 'enum_values', t.instrument_id, COUNT(*) FROM enum_values v JOIN enum_types t ON t.id = v.enum_id
+      WHERE t.instrument_id <> 7 GROUP BY 2
+    UNION ALL SELECT 'parameters_history', instrument_id, COUNT(*) FROM parameters WHERE instrument_id <> 7 GROUP BY 2
+    UNION ALL SELECT 'enum_values_history', t.instrument_id, COUNT(*) FROM enum_values v JOIN enum_types t ON t.id = v.enum_id
       WHERE t.instrument_id <> 7 GROUP BY 2""",
 )
 def _(spark, sf):
@@ -248,12 +262,14 @@ def _(spark, sf):
         {
             "data": f.data, "parameters": f.parameters, "instruments": f.instruments,
             "enum_types": f.enum_types, "enum_values": f.enum_values,
+            "parameters_history": f.parameters, "enum_values_history": f.enum_values,
         },
         7,
     )
     owner = {
         "instruments": F.col("id"),
         "enum_values": F.floor(F.col("enum_id") / 100).cast("int"),
+        "enum_values_history": F.floor(F.col("enum_id") / 100).cast("int"),
     }
     out = None
     for name, df in left.items():

@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime, timezone
+from time import sleep as pause
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,23 +19,32 @@ from fleetsig.sources.lake import Lake
 from fleetsig.sources.xml_export import FILE
 
 GLOB = "*_data.{xml,xml.gz}"
-_REJECTS = f"{FILE} STRING, param_id INT, rejected BIGINT, import_id STRING"
-_FILE_LOG = "path STRING, modificationTime TIMESTAMP"
+REJECTS = f"{FILE} STRING, param_id INT, reason STRING, rejected BIGINT, import_id STRING"
+FILE_LOG = "path STRING, modificationTime TIMESTAMP"
+OUTCOMES = (
+    "path STRING, modificationTime TIMESTAMP, status STRING, error STRING, accepted BIGINT, rejected BIGINT, malformed BIGINT, "
+    "import_id STRING, at TIMESTAMP"
+)
+DONE, SKIPPED, FAILED = "done", "skipped", "failed"
+_COUNTS = f"{FILE} STRING, accepted BIGINT, rejected BIGINT, malformed BIGINT"
 
 
 @dataclass
 class ImportResult:
-    """``rejects``: values per file and unknown parameter; ``skipped``: files of no known instrument."""
+    """``rejects``: values per file, parameter and reason; ``skipped``: files of no known instrument; ``counts``: values per file."""
 
     rejects: DataFrame
     skipped: list[str]
+    counts: DataFrame
+    import_id: str
 
 
 def import_files(spark: SparkSession, paths: Sequence[str], registry: DataFrame, lake: Lake, strict: bool = True) -> ImportResult:
     """Import exports: metadata with history first, then the values; a second import changes nothing.
 
     Each of the three sections is parsed once and kept as a staged table while the import lasts. Where files
-    of one instrument disagree on metadata, the file later in name order wins.
+    of one instrument disagree on metadata, the file later in name order wins. A file that cannot be read fails the import;
+    a malformed element costs only what is broken in it, which is counted, as are values that do not convert.
     """
     paths = list(paths)
     with lake.staging() as stage:
@@ -54,13 +65,41 @@ def import_files(spark: SparkSession, paths: Sequence[str], registry: DataFrame,
         described = stage(xml_export.read_parameters(spark, paths)).join(owner, FILE)
         _store_parameters(lake, described, now)
 
-        values = xml_export.explode_values(xml_export.read_value_data(spark, paths)).join(owner, FILE)
+        elements = stage(xml_export.read_value_data(spark, paths))
+        values = xml_export.explode_values(elements).unionByName(xml_export.salvaged_values(elements)).join(owner, FILE)
         typed = stage(xml_export.type_values(values, described.drop("instrument_id"), on=[FILE, "param_id"]))
         lake.append_events(xml_export.accepted(typed))
         run = uuid.uuid4().hex
-        counts = xml_export.rejected(typed).groupBy(FILE, "param_id").agg(F.count("*").alias("rejected"))
-        lake.append("rejects", counts.withColumn("import_id", F.lit(run)))
-    return ImportResult(lake.log("rejects", _REJECTS).where(F.col("import_id") == run), skipped)
+        unknown = xml_export.rejected(typed).withColumn("reason", F.lit("unknown parameter"))
+        lost = unknown.unionByName(xml_export.unconverted(typed))
+        counts = lost.groupBy(FILE, "param_id", "reason").agg(F.count("*").alias("rejected"))
+        broken = _malformed(stage, enumerations, elements, xml_export.salvaged_values(elements))
+        named = broken.select(FILE, F.lit(None).cast("int").alias("param_id"), F.lit("malformed").alias("reason"), F.col("malformed").alias("rejected"))
+        rejects = stage(counts.unionByName(named))
+        lake.append("rejects", rejects.withColumn("import_id", F.lit(run)).select(*_names(REJECTS)))
+        taken = xml_export.accepted(typed, [FILE]).groupBy(FILE).agg(F.count("*").alias("accepted"))
+        refused = rejects.where("reason <> 'malformed'").groupBy(FILE).agg(F.sum("rejected").alias("rejected"))
+        per_file = owner.join(taken, FILE, "left").join(refused, FILE, "left").join(broken, FILE, "left")
+        per_file = per_file.fillna(0, ["accepted", "rejected", "malformed"])
+        lake.append("import_counts", per_file.withColumn("import_id", F.lit(run)))
+    mine = F.col("import_id") == run
+    counted = lake.log("import_counts", f"{_COUNTS}, import_id STRING").where(mine)
+    return ImportResult(lake.log("rejects", REJECTS).where(mine), skipped, counted, run)
+
+
+def _names(ddl: str) -> list[str]:
+    return [c.split()[0] for c in ddl.split(",")]
+
+
+def _malformed(stage, enumerations: DataFrame, elements: DataFrame, saved: DataFrame) -> DataFrame:
+    """Per file: malformed metadata elements, and values lost in malformed ValueData elements (one at least for each)."""
+    bad = xml_export.malformed_counts(elements)
+    kept = saved.groupBy(FILE).agg(F.count("*").alias("saved"))
+    lost = bad.join(kept, FILE, "left").select(
+        FILE, F.greatest(F.col("values") - F.coalesce("saved", F.lit(0)), F.col("elements") * 0 + 1).alias("malformed")
+    )
+    meta = xml_export.malformed_counts(enumerations).select(FILE, F.col("elements").alias("malformed"))
+    return stage(lost.unionByName(meta).groupBy(FILE).agg(F.sum("malformed").cast("long").alias("malformed")))
 
 
 def _store_instruments(lake: Lake, files: DataFrame) -> None:
@@ -102,33 +141,89 @@ def batch(spark: SparkSession, paths: Sequence[str], registry_path: str, root: s
     return import_files(spark, paths, tabular.read_registry(spark, registry_path), Lake(spark, root))
 
 
-def poll(spark: SparkSession, directory: str, registry: DataFrame, lake: Lake, files_per_batch: int = 64) -> list[str]:
-    """Import the files that are new or were overwritten since they were last imported; returns their names.
+def poll(
+    spark: SparkSession, directory: str, registry: DataFrame, lake: Lake, files_per_batch: int = 64, settle_seconds: float = 0,
+) -> list[str]:
+    """Import the files that are new or were overwritten since they were last imported; returns the names imported.
 
     The exporter rewrites its files in place, so files are remembered with their modification time. They are
-    taken in groups, each remembered when it is done, until none is left.
+    taken in groups until none is left. What became of each file is one row of ``import_outcomes``; only a file that is
+    ``done`` is remembered as imported, so one that failed, or whose instrument was unknown, is tried again by the next
+    poll. With ``settle_seconds`` a file waits until its size and time have not changed for so long.
     """
     imported: list[str] = []
+    tried: list = []
+    settled = _settled(spark, directory, settle_seconds)
     while True:
-        listed = (
-            spark.read.format("binaryFile").option("pathGlobFilter", GLOB).load(directory).select("path", "modificationTime")
-        )
-        done = lake.log("imported_files", _FILE_LOG)
-        waiting = listed.join(done, ["path", "modificationTime"], "left_anti")
-        group = waiting.orderBy("modificationTime", "path").limit(files_per_batch).collect()
+        done = lake.log("imported_files", FILE_LOG)
+        waiting = settled.join(done, ["path", "modificationTime"], "left_anti")
+        if tried:
+            waiting = waiting.join(spark.createDataFrame(tried, FILE_LOG), ["path", "modificationTime"], "left_anti")
+        group = waiting.orderBy("modificationTime", "path").limit(files_per_batch).select(*_names(FILE_LOG)).collect()
         if not group:
             return imported
-        paths = sorted(r["path"] for r in group)
-        import_files(spark, paths, registry, lake, strict=False)
-        lake.append("imported_files", spark.createDataFrame(group, _FILE_LOG))
-        imported += paths
+        imported += _import_group(spark, group, registry, lake)
+        tried += [tuple(r) for r in group]
+
+
+def _listed(spark: SparkSession, directory: str) -> DataFrame:
+    found = spark.read.format("binaryFile").option("pathGlobFilter", GLOB).load(directory)
+    return found.select("path", "modificationTime", "length")
+
+
+def _settled(spark: SparkSession, directory: str, seconds: float) -> DataFrame:
+    """Files whose length and time are the same after ``seconds``; one that still grows is left for the next poll."""
+    if not seconds:
+        return _listed(spark, directory)
+    before = {tuple(r) for r in _listed(spark, directory).collect()}
+    pause(seconds)
+    after = [tuple(r) for r in _listed(spark, directory).collect()]
+    return spark.createDataFrame([r for r in after if r in before], f"{FILE_LOG}, length BIGINT")
+
+
+def _import_group(spark: SparkSession, group: list, registry: DataFrame, lake: Lake) -> list[str]:
+    """Import files together, or one by one if that fails, so that a broken file stops no other."""
+    times = {r["path"]: r["modificationTime"] for r in group}
+    try:
+        results = [(list(times), import_files(spark, sorted(times), registry, lake, strict=False), None)]
+    except Exception as error:  # whatever a file may cause: it is recorded below
+        if len(group) > 1:
+            return [p for r in group for p in _import_group(spark, [r], registry, lake)]
+        results = [(list(times), None, f"{type(error).__name__}: {error}"[:2000])]
+    done, rows = [], []
+    for paths, result, error in results:
+        counts = {r[FILE]: r for r in result.counts.collect()} if result else {}
+        for path in paths:
+            c = counts.get(path)
+            status = FAILED if error else SKIPPED if path in result.skipped else DONE
+            numbers = (c["accepted"], c["rejected"], c["malformed"]) if c else (0, 0, 0)
+            rows.append((path, times[path], status, error, *numbers, result.import_id if result else None, datetime.now(timezone.utc)))
+            done += [path] if status == DONE else []
+    lake.append("import_outcomes", spark.createDataFrame(rows, OUTCOMES))
+    if done:
+        lake.append("imported_files", spark.createDataFrame([(p, times[p]) for p in done], FILE_LOG))
+    return done
+
+
+def watch(
+    spark: SparkSession, directory: str, registry, lake: Lake, every: float = 300, settle_seconds: float = 10,
+    rounds: int | None = None,
+) -> None:
+    """Poll a folder again and again. ``registry`` is a function, read before each round, so new instruments count at once."""
+    while rounds is None or rounds > 0:
+        for path in poll(spark, directory, registry(), lake, settle_seconds=settle_seconds):
+            print(path)
+        rounds = None if rounds is None else rounds - 1
+        if rounds is None or rounds > 0:
+            pause(every)
 
 
 def stream(
     spark: SparkSession, directory: str, registry: DataFrame, lake: Lake, checkpoint: str | None = None,
     available_now: bool = False, every: str = "1 minute", files_per_batch: int = 64,
 ):
-    """Import files as they appear under new names; returns the streaming query.
+    """Import files as they appear under new names; returns the streaming query. Files that failed or were skipped are in
+    ``import_outcomes`` and left to ``poll``.
 
     The stream only carries file names, a bounded number per micro-batch; the files themselves are read and
     written by the batch import, whose de-duplication makes a replayed micro-batch harmless.
@@ -139,13 +234,13 @@ def stream(
         .option("pathGlobFilter", GLOB)
         .option("maxFilesPerTrigger", files_per_batch)
         .load(directory)
-        .select("path")
+        .select("path", "modificationTime")
     )
 
     def run(batch_df: DataFrame, _batch_id: int) -> None:
-        paths = [r[0] for r in batch_df.collect()]
-        if paths:
-            import_files(spark, sorted(paths), registry, lake, strict=False)
+        group = batch_df.collect()
+        if group:
+            _import_group(spark, group, registry, lake)
 
     writer = names.writeStream.foreachBatch(run).option(
         "checkpointLocation", checkpoint or f"{checkpoint_dir(spark)}/ingest"

@@ -6,15 +6,15 @@ through a staged copy, which is then published by dynamic partition overwrite.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Sequence
 from contextlib import contextmanager
 from datetime import date, datetime, timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql.types import DateType, StructField, StructType, TimestampType
 
 from fleetsig import schema
 from fleetsig.plans.views import Fleet
@@ -38,16 +38,18 @@ def delete_before(df: DataFrame, instrument_id: int, before, ts: str = "time", i
 
 
 def delete_instrument(tables: dict[str, DataFrame], instrument_id: int) -> dict[str, DataFrame]:
-    """All tables without an instrument and what belongs to it; enumeration values go with their type."""
+    """All tables without an instrument and what belongs to it; enumeration values and their history go with their type."""
     owner = {"instruments": "id", ERRORS: "InstrumentID"}
+    of_type = ("enum_values", "enum_values_history")
     left = {
         name: df.where(F.col(owner.get(name, "instrument_id")) != instrument_id)
         for name, df in tables.items()
-        if name != "enum_values"
+        if name not in of_type
     }
-    if "enum_values" in tables:
-        gone = tables["enum_types"].where(F.col("instrument_id") == instrument_id)
-        left["enum_values"] = tables["enum_values"].join(gone, F.col("enum_id") == gone["id"], "left_anti")
+    for name in of_type:
+        if name in tables:
+            gone = tables["enum_types"].where(F.col("instrument_id") == instrument_id).select(F.col("id").alias("_gone"))
+            left[name] = tables[name].join(gone, F.col("enum_id") == F.col("_gone"), "left_anti")
     return left
 
 
@@ -84,7 +86,8 @@ class Lake:
     def replace_all(self, tables: dict[str, DataFrame]) -> None:
         """Replace several tables that may be computed from each other's old content.
 
-        A job that dies leaves the versions it completed; running it again starts from those.
+        A job that dies leaves the versions it completed; running it again starts from those. Old versions stay readable
+        for whoever holds them until ``vacuum`` removes them by age.
         """
         kept = {name: self._versions(name) for name in tables}
         for name, df in tables.items():
@@ -92,9 +95,33 @@ class Lake:
             df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
                 f"{self.path(name)}/version={version}"
             )
-        for name, versions in kept.items():
-            for old in versions[:-1]:
-                self._remove(f"{self.path(name)}/version={old}")
+
+    def vacuum(self, older_than_seconds: float = 7 * 86_400) -> list[str]:
+        """Remove versions of small tables and views that were replaced longer ago than that; returns their paths."""
+        limit = (time.time() - older_than_seconds) * 1000
+        gone = []
+        for name in self._versioned():
+            fs, _ = self._fs(self.path(name))
+            versions = self._versions(name)
+            for old, newer in zip(versions, versions[1:]):
+                marker = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/version={newer}/_SUCCESS")
+                if fs.getFileStatus(marker).getModificationTime() <= limit:
+                    gone.append(f"{self.path(name)}/version={old}")
+        for path in gone:
+            self._remove(path)
+        return gone
+
+    def _versioned(self, below: str = "") -> list[str]:
+        """Names of the tables that are kept as versions."""
+        fs, where = self._fs(f"{self.root}/{below}" if below else self.root)
+        found = []
+        for entry in fs.listStatus(where) if fs.exists(where) else []:
+            child = entry.getPath().getName()
+            if child.startswith("version="):
+                return [below]
+            if entry.isDirectory() and "=" not in child and not child.startswith("_"):
+                found += self._versioned(f"{below}/{child}" if below else child)
+        return found
 
     def _versions(self, name: str) -> list[int]:
         fs, where = self._fs(self.path(name))
@@ -107,10 +134,10 @@ class Lake:
     # tables that only grow
 
     def log(self, name: str, struct) -> DataFrame:
-        try:
-            return self.spark.read.schema(struct).parquet(self.path(name))
-        except AnalysisException:
+        fs, where = self._fs(self.path(name))
+        if not fs.exists(where):
             return self.spark.createDataFrame([], struct)
+        return self.spark.read.schema(struct).parquet(self.path(name))
 
     def append(self, name: str, df: DataFrame) -> None:
         df.write.mode("append").parquet(self.path(name))
@@ -128,9 +155,9 @@ class Lake:
 
     def events(self, days: Sequence[date] | None = None) -> DataFrame:
         """Stored events with their ``day``; ``days`` prunes partitions."""
-        try:
+        if self._has_events():
             df = self.spark.read.schema(_STORED_EVENTS).parquet(self.path("data"))
-        except AnalysisException:
+        else:
             df = self.spark.createDataFrame([], schema.EVENTS).withColumn("day", F.to_date("time"))
         return df if days is None else df.where(F.col("day").isin(*days))
 
@@ -165,6 +192,16 @@ class Lake:
             if day not in left:
                 self._remove(f"{self.path('data')}/day={day}")
 
+    def compact(self, days: Sequence[date] | None = None) -> None:
+        """Rewrite days of events, each import having added files to them, as few sorted files."""
+        rows = self.events(days)
+        wanted = _days(rows) if days is None else list(days)
+        for day in wanted:
+            with self.staging() as stage:
+                staged = stage(self.events([day]))
+                if not staged.isEmpty():
+                    self._write_days(staged, "overwrite")
+
     def delete_before(self, instrument_id: int, before: date) -> None:
         """Remove an instrument's events and alarms older than a date."""
         self.delete_events((F.col("instrument_id") == instrument_id) & (F.col("time") < F.lit(str(before)).cast("timestamp")))
@@ -184,28 +221,59 @@ class Lake:
             )
         }
         errors = self._errors()
-        self.replace_all(delete_instrument(small if errors is None else small | {ERRORS: errors}, instrument_id))
+        stamped = [*schema.PARAMETERS.fields, StructField("inserted", TimestampType())]
+        logs = {
+            "parameters_history": self.log("parameters_history", StructType(stamped)),
+            "enum_values_history": self.log(
+                "enum_values_history", StructType([*schema.ENUM_VALUES.fields, StructField("inserted", TimestampType())])
+            ),
+        }
+        left = delete_instrument((small if errors is None else small | {ERRORS: errors}) | logs, instrument_id)
+        # its files may come again once the instrument is registered anew
+        files = self.log("imported_files", "path STRING, modificationTime TIMESTAMP")
+        owners = self.log("import_counts", "source_file STRING, instrument_id INT").where(F.col("instrument_id") == instrument_id)
+        left["imported_files"] = files.join(owners, F.col("path") == F.col("source_file"), "left_anti")
+        for name in (*logs, "imported_files"):
+            self._rewrite_log(name, left.pop(name))
+        self.replace_all(left)
         self.delete_events(F.col("instrument_id") == instrument_id)
 
+    def _rewrite_log(self, name: str, rows: DataFrame) -> None:
+        """Give a growing table new content, computed from the old one."""
+        fs, where = self._fs(self.path(name))
+        if fs.exists(where):
+            with self.staging() as stage:
+                stage(rows).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self.path(name))
+
     # derived tables
 
     def view(self, name: str, struct: StructType | None = None) -> DataFrame:
         """A derived table; the schema is needed where it may have no rows yet."""
         reader = self.spark.read if struct is None else self.spark.read.schema(struct)
-        return reader.parquet(self.path(f"views/{name}"))
+        return reader.parquet(self._newest_view(name))
+
+    def _newest_view(self, name: str) -> str:
+        versions = self._versions(f"views/{name}")
+        if not versions:
+            raise FileNotFoundError(self.path(f"views/{name}"))
+        return self.path(f"views/{name}/version={versions[-1]}")
 
     def write_view(self, name: str, df: DataFrame, partition: str | None = None) -> None:
-        """Overwrite a derived table as a whole."""
+        """Give a derived table new content, as a new version: readers keep what they have, a failed job changes nothing."""
+        versions = self._versions(f"views/{name}")
         writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
         if partition:
             writer = writer.partitionBy(partition)
-        writer.parquet(self.path(f"views/{name}"))
+        writer.parquet(self.path(f"views/{name}/version={(versions[-1] if versions else 0) + 1}"))
 
     def write_view_days(self, name: str, df: DataFrame, column: str, start: date, end: date) -> None:
-        """Replace the day partitions [start, end) of a derived table, also by nothing."""
-        table = self.path(f"views/{name}")
-        df.write.mode("overwrite").partitionBy(column).parquet(table)
-        left = {r[0] for r in df.select(column).distinct().collect()}
+        """Replace the day partitions [start, end) of a derived table, also by nothing. The rows are computed once."""
+        table = self._newest_view(name)
+        with self.staging() as stage:
+            staged = stage(df)
+            left = {r[0] for r in staged.select(column).distinct().collect()}
+            if left:
+                staged.write.mode("overwrite").partitionBy(column).parquet(table)
         for day in (start + timedelta(n) for n in range((end - start).days)):
             if day not in left:
                 self._remove(f"{table}/{column}={day}")

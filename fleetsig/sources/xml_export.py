@@ -14,13 +14,24 @@ FILE = "source_file"
 _ENUM_BLOCK = "_Name STRING, Value ARRAY<STRUCT<_Name: STRING, _ID: INT>>"
 
 
+MALFORMED = "_malformed"
+_ONE_VALUE = "_Timestamp STRING, Value STRING"
+
+
 def _reader_options(row_tag: str) -> dict[str, str]:
-    return {"rowTag": row_tag, "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "ignoreCorruptFiles": "true"}
+    # the parser that reads element by element: a malformed one is reported and those behind it are still read
+    return {
+        "rowTag": row_tag, "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "ignoreCorruptFiles": "false",
+        "columnNameOfCorruptRecord": MALFORMED, "useLegacyXMLParser": "true",
+    }
 
 
 def read_elements(spark: SparkSession, paths: Sequence[str] | str, row_tag: str, struct) -> DataFrame:
-    """All elements of one tag with the file they come from; plain and gzipped files alike."""
-    df = spark.read.format("xml").options(**_reader_options(row_tag)).schema(struct).load(paths)
+    """All elements of one tag with the file they come from; plain and gzipped files alike.
+
+    A malformed element has only ``_malformed``, its text; a file that cannot be read fails the query.
+    """
+    df = spark.read.format("xml").options(**_reader_options(row_tag)).schema(f"{struct}, {MALFORMED} STRING").load(paths)
     return df.withColumn(FILE, F.col("_metadata.file_path"))
 
 
@@ -29,7 +40,7 @@ def stream_elements(spark: SparkSession, directory: str, row_tag: str, struct, g
     df = (
         spark.readStream.format("xml")
         .options(**_reader_options(row_tag), pathGlobFilter=glob)
-        .schema(struct)
+        .schema(f"{struct}, {MALFORMED} STRING")
         .load(directory)
     )
     return df.withColumn(FILE, F.col("_metadata.file_path"))
@@ -111,6 +122,27 @@ def explode_values(value_data: DataFrame, keep: Sequence[str] = (FILE,)) -> Data
     ).select(*keep, "param_id", F.col("_v._Timestamp").alias("time_text"), F.col("_v.Value").alias("raw"))
 
 
+def salvaged_values(value_data: DataFrame, keep: Sequence[str] = (FILE,)) -> DataFrame:
+    """Values that are well formed inside malformed ValueData elements: param_id, time_text, raw."""
+    text = F.col(MALFORMED)
+    found = value_data.where(text.isNotNull()).select(
+        *keep,
+        F.regexp_extract(text, r'ParameterID="\s*(\d+)\s*"', 1).try_cast("int").alias("param_id"),
+        F.explode(F.regexp_extract_all(text, F.lit(r"(?s)<ParameterValue\b(?:(?!<ParameterValue\b).)*?</ParameterValue>"), 0)).alias("_text"),
+    )
+    options = {"ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": MALFORMED}
+    parsed = found.withColumn("_v", F.from_xml("_text", f"{_ONE_VALUE}, {MALFORMED} STRING", options))
+    whole = F.col(f"_v.{MALFORMED}").isNull() & F.col("_v._Timestamp").isNotNull() & F.col("param_id").isNotNull()
+    return parsed.where(whole).select(*keep, "param_id", F.col("_v._Timestamp").alias("time_text"), F.col("_v.Value").alias("raw"))
+
+
+def malformed_counts(elements: DataFrame, keep: Sequence[str] = (FILE,)) -> DataFrame:
+    """Malformed elements per file, and in ``values`` how many single values their text begins."""
+    begun = F.size(F.split(F.col(MALFORMED), r"<ParameterValue\b")) - 1
+    bad = elements.where(F.col(MALFORMED).isNotNull())
+    return bad.groupBy(*keep).agg(F.count("*").alias("elements"), F.sum(begun).alias("values"))
+
+
 def type_values(values: DataFrame, parameters: DataFrame, on: Sequence[str] = ("instrument_id", "param_id")) -> DataFrame:
     """Values as events, with their parameter's ``value_type``; NULL there means an unknown parameter."""
     kinds = parameters.select(*on, "value_type")
@@ -122,11 +154,11 @@ def type_values(values: DataFrame, parameters: DataFrame, on: Sequence[str] = ("
     })
 
 
-def accepted(typed: DataFrame) -> DataFrame:
+def accepted(typed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Events of known parameters; a value that does not convert to its type, and an empty one, is dropped."""
     return typed.where(
         "time IS NOT NULL AND value_type IS NOT NULL AND (value_num IS NOT NULL OR value_text IS NOT NULL)"
-    ).select("time", "instrument_id", "param_id", "value_num", "value_text")
+    ).select(*keep, "time", "instrument_id", "param_id", "value_num", "value_text")
 
 
 def rejected(typed: DataFrame) -> DataFrame:
@@ -134,6 +166,14 @@ def rejected(typed: DataFrame) -> DataFrame:
     return typed.where("value_type IS NULL")
 
 
+def unconverted(typed: DataFrame) -> DataFrame:
+    """Values of known parameters whose time or text does not convert, with the ``reason``; an empty value is just missing."""
+    untimed = F.col("time").isNull()
+    lost = F.col("value_num").isNull() & F.col("value_text").isNull() & (F.coalesce("raw", F.lit("")) != "")
+    reason = F.when(untimed, "time").when(lost, "value")
+    return typed.where(F.col("value_type").isNotNull()).withColumn("reason", reason).where("reason IS NOT NULL")
+
+
 def enums_from_config(configs: DataFrame, column: str = "config") -> tuple[DataFrame, DataFrame]:
     """Enumerations held in a column of configuration XML: (param_id, enum_name) and (name, member_name, value).
 

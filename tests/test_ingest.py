@@ -80,7 +80,9 @@ def test_import_upsert_history_and_repeat(spark, tmp_path, registry, lake):
     first.write_text(export())
     result = ingest.import_files(spark, [str(first)], registry, lake)
     assert got(lake.events(), "param_id", "time", "value_num", "value_text") == sorted(EVENTS, key=repr)
-    assert got(result.rejects, "param_id", "rejected") == [(77, 1)]
+    assert got(result.rejects, "param_id", "reason", "rejected") == sorted(
+        [(77, "unknown parameter", 1), (1, "value", 1), (2, "value", 1)], key=repr
+    )
     f = lake.fleet()
     assert got(f.instruments, "id", "instrument", "serial") == [(1, "9999, Test", 9999)]
     names = f.enum_types.select("id", "name").join(f.enum_values, F.col("id") == F.col("enum_id"))
@@ -127,6 +129,84 @@ def test_several_files_and_bad_files(spark, tmp_path, registry, lake):
     assert got(by_name.groupBy("name").count()) == [("Other", 1), ("Test 1", len(EVENTS))]
 
 
+def outcomes(lake):
+    rows = lake.log("import_outcomes", ingest.OUTCOMES).collect()
+    return sorted((os.path.basename(r.path), r.status, r.accepted, r.rejected, r.malformed) for r in rows)
+
+
+def test_one_bad_element_costs_only_itself(spark, tmp_path, registry, lake):
+    file = tmp_path / "9999_data.xml"
+    file.write_text(export().replace("<Value>nan?</Value>", "<Value>nan?</Vale>").replace('<Literal Name="Auto">1', "<Literal Name='Auto>1"))
+    result = ingest.import_files(spark, [str(file)], registry, lake)
+    assert got(lake.events(), "param_id", "time", "value_num", "value_text") == sorted(EVENTS, key=repr)
+    assert got(result.rejects.where("reason = 'malformed'"), "rejected") == [(2,)]
+    assert got(result.counts, "accepted", "rejected", "malformed") == [(len(EVENTS), 2, 2)]
+
+
+def test_broken_and_early_files_are_tried_again(spark, tmp_path, registry, lake):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    whole = gzip.compress(export(values={2: [(f"2024-01-01T10:{i // 60:02d}:{i % 60:02d}Z", f"{i * i % 977}.5") for i in range(2000)]}).encode())
+    (folder / "a_data.xml.gz").write_bytes(whole[: len(whole) * 2 // 3])
+    (folder / "b_data.xml").write_text(export())
+    (folder / "c_data.xml").write_text(export("7777, Later"))
+    assert [os.path.basename(p) for p in ingest.poll(spark, str(folder), registry, lake)] == ["b_data.xml"]
+    assert outcomes(lake) == [("a_data.xml.gz", "failed", 0, 0, 0), ("b_data.xml", "done", len(EVENTS), 3, 0), ("c_data.xml", "skipped", 0, 0, 0)]
+    (folder / "a_data.xml.gz").write_bytes(whole)
+    settings = tmp_path / "more.json"
+    settings.write_text(json.dumps([*REGISTRY, {**REGISTRY[0], "instrument": "7777, Later", "serial": 7777}]))
+    again = ingest.poll(spark, str(folder), tabular.read_registry(spark, str(settings)), lake)
+    assert sorted(map(os.path.basename, again)) == ["a_data.xml.gz", "c_data.xml"]
+    assert ingest.poll(spark, str(folder), registry, lake) == []
+
+
+def test_watch_takes_overwritten_files_and_waits_for_growing_ones(spark, tmp_path, registry, lake, monkeypatch):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a_data.xml").write_text(export())
+    growing = folder / "b_data.xml"
+    growing.write_text(export()[:500])
+    seen = []
+
+    def nap(_seconds):
+        """What happens while the watch sleeps: settling, then the pause between rounds."""
+        seen.append([r[1] for r in outcomes(lake)])
+        if len(seen) == 1:
+            growing.write_text(export("8888, Other", values={2: [("2024-01-01T00:00:00Z", "1.5")]}))
+        if len(seen) == 2:
+            (folder / "a_data.xml").write_text(export(values={2: [("2024-01-05T10:00:00Z", "3.5")]}))
+            os.utime(folder / "a_data.xml", (2_000_000_000, 2_000_000_000))
+
+    monkeypatch.setattr(ingest, "pause", nap)
+    ingest.watch(spark, str(folder), lambda: registry, lake, rounds=2)
+    assert seen == [[], ["done"], ["done"]]
+    assert [r[:2] for r in outcomes(lake)] == [("a_data.xml", "done"), ("a_data.xml", "done"), ("b_data.xml", "done")]
+    assert lake.events().count() == len(EVENTS) + 2
+
+
+def test_versions_compaction_and_cascade(spark, tmp_path, registry, lake):
+    for i in range(4):
+        file = tmp_path / f"{i}_data.xml"
+        file.write_text(export(closed=i, limit=str(i), values={2: [(f"2024-01-01T10:00:0{i}Z", "1.5")]}))
+        if i == 1:
+            held = lake.fleet()
+        ingest.import_files(spark, [str(file)], registry, lake)
+    assert got(held.parameters.where("param_id = 2"), "abs_max") == [(0.0,)]
+    day = tmp_path / "lake" / "data" / "day=2024-01-01"
+    assert len(list(day.glob("*.parquet"))) == 4
+    spark.conf.set("spark.sql.adaptive.enabled", "true")  # small partitions are merged by it
+    lake.compact()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    assert len(list(day.glob("*.parquet"))) == 1 and lake.events().count() == 4
+    assert lake.vacuum() == [] and lake.vacuum(0)
+    assert got(lake.read("parameters").where("param_id = 2"), "abs_max") == [(3.0,)]
+    lake.append("imported_files", spark.createDataFrame([(f"file:{tmp_path}/3_data.xml", at(0)), ("other", at(0))], ingest.FILE_LOG))
+    lake.delete_instrument(1)
+    assert lake.spark.read.parquet(lake.path("parameters_history")).count() == 0
+    assert lake.spark.read.parquet(lake.path("enum_values_history")).count() == 0
+    assert lake.log("imported_files", ingest.FILE_LOG).count() == 1
+
+
 def test_poll_sees_overwritten_files(spark, tmp_path, registry, lake):
     folder = tmp_path / "in"
     folder.mkdir()

@@ -43,5 +43,7 @@ def test_entry_and_catalogue(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
-    without_sql = set(entry.queries()) - set(entry.oracle_sql())
-    assert without_sql == {"dq23_lttb"}
+    from fleetsig.plans.registry import ORACLES, QUERIES
+
+    assert set(QUERIES) - set(ORACLES) == {"dq23_lttb"}
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
