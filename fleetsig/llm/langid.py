@@ -119,7 +119,8 @@ def fit(
     """Train on one window each of about ``per_language`` documents per language, drawn by a hash; None if there are none.
 
     Rows that ``held_out`` names, null ids, null or letterless texts and null labels are not learned from. The driver gathers
-    ``per_language`` windows for each language, however large the table.
+    ``per_language`` windows for each language, however large the table. The counts that are broadcast have one row per
+    language, as the network's output layer has; texts are never shuffled.
     """
     usable = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(
         F.col("key").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out("key")
@@ -128,8 +129,9 @@ def fit(
     draw = F.pmod(F.xxhash64("key", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
     at = F.pmod(F.xxhash64("key", F.lit("place")), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1).cast("int")
     piece = F.substring("text", at + 1, F.lit(WINDOW)).alias("piece")
-    some = usable.join(counts, "lang").where(draw < F.lit(float(per_language)) / F.col("of")).select("lang", piece, "key")
-    rows = some.orderBy("key", "piece").collect()
+    some = usable.select("lang", "key", piece, draw.alias("draw")).join(F.broadcast(counts), "lang")
+    some = some.where(F.col("draw") < F.lit(float(per_language)) / F.col("of")).select("key", "piece", "lang")
+    rows = sorted(some.collect(), key=lambda r: (r.key, r.piece, r.lang))
     return train([r.piece for r in rows], [r.lang for r in rows]) if rows else None
 
 
