@@ -7,20 +7,19 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Groups up to this size are ranked whole; of larger ones only a narrow bracket around the quantile is.
-_SMALL = 100_000
 _ACCURACY = 10_000
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, wanted: Mapping[str, float]) -> DataFrame:
     """Linearly interpolated quantiles per group, one column per entry of ``wanted``.
 
-    A first pass sketches each group and brackets every quantile by twice the sketch's rank error. A second
-    pass counts what lies below the bracket and ranks the distinct values inside it, so no task ever holds
-    more of a group than the bracket.
+    A first pass sketches each group and brackets every quantile by four times the sketch's rank error. A second
+    pass counts what lies below and above the bracket and ranks the distinct values inside it, so no task ever holds
+    more of a group than the bracket. The two values a quantile lies between are in the bracket or, in groups so small that
+    the sketch is exact, right beside it; so the nearest value on each side is kept as well.
     """
     by = list(by)
-    margin = 2.0 / _ACCURACY
+    margin = 4.0 / _ACCURACY
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).alias("_v"))
     marks = [p for q in wanted.values() for p in (max(q - margin, 0.0), min(q + margin, 1.0))]
     sketch = (
@@ -33,8 +32,8 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, wanted: Mappin
                 F.struct(
                     F.lit(name).alias("name"),
                     (F.lit(q) * (F.col("_n") - 1)).alias("rank"),
-                    F.when(F.col("_n") > _SMALL, F.get("_marks", F.lit(2 * i))).alias("lo"),
-                    F.when(F.col("_n") > _SMALL, F.get("_marks", F.lit(2 * i + 1))).alias("hi"),
+                    F.get("_marks", F.lit(2 * i)).alias("lo"),
+                    F.get("_marks", F.lit(2 * i + 1)).alias("hi"),
                 )
                 for i, (name, q) in enumerate(wanted.items())
             ])).alias("_which", "_q"),
@@ -44,15 +43,15 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, wanted: Mappin
     # value -> count first, then the few quantiles of the group are attached
     counted = rows.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
     placed = counted.join(sketch, by)
-    below = F.coalesce(F.col("_v") < F.col("lo"), F.lit(False))
-    above = F.coalesce(F.col("_v") > F.col("hi"), F.lit(False))
-    # all values below the bracket collapse into one row at its lower edge
+    side = F.when(F.col("_v") < F.col("lo"), -1).when(F.col("_v") > F.col("hi"), 1).otherwise(0)
+    # all values on one side of the bracket collapse into one row, at the one nearest to it
     bracket = (
-        placed.where(~above)
-        .groupBy(*by, "name", "rank", F.when(~below, F.col("_v")).alias("_v"))
-        .agg(F.sum("_c").alias("_c"))
+        placed.withColumn("_side", side)
+        .groupBy(*by, "name", "rank", "_side", F.when(F.col("_side") == 0, F.col("_v")).alias("_inside"))
+        .agg(F.sum("_c").alias("_c"), F.max("_v").alias("_top"), F.min("_v").alias("_low"))
+        .withColumn("_v", F.when(F.col("_side") < 0, F.col("_top")).otherwise(F.col("_low")))
     )
-    ordered = Window.partitionBy(*by, "name").orderBy(F.col("_v").asc_nulls_first())
+    ordered = Window.partitionBy(*by, "name").orderBy("_v")
     upto = F.sum("_c").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     ranked = bracket.withColumns({"_to": upto}).withColumn("_from", F.col("_to") - F.col("_c"))
 

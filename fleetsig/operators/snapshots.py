@@ -77,10 +77,10 @@ def top_statements(stats: DataFrame, texts: DataFrame, users: DataFrame, t_from,
             F.coalesce(F.sum(F.col("delta_blk_read_time") + F.col("delta_blk_write_time")), F.lit(0.0)).alias("_io"),
         )
     )
-    all_ms, all_io = per.select(F.sum("_ms")).scalar(), per.select(F.sum("_io")).scalar()
+    whole = per.select(F.struct(F.sum("_ms").alias("ms"), F.sum("_io").alias("io"))).scalar()
     minutes = (F.lit(t_to).cast("timestamp").cast("double") - F.lit(t_from).cast("timestamp").cast("double")) / 60.0
     return (
-        per.withColumns({"_all_ms": all_ms, "_all_io": all_io})
+        per.withColumn("_whole", whole)
         .join(texts, "queryid")
         .join(users, "userid")
         .select(
@@ -89,8 +89,8 @@ def top_statements(stats: DataFrame, texts: DataFrame, users: DataFrame, t_from,
             "rolname",
             ratio(F.col("_ms"), F.col("_calls")).alias("avg_time"),
             ratio(F.col("_calls").cast("double"), minutes).alias("calls_per_min"),
-            (ratio(F.col("_ms"), F.col("_all_ms")) * 100).alias("pct_runtime"),
-            (ratio(F.col("_io"), F.col("_all_io")) * 100).alias("pct_io"),
+            (ratio(F.col("_ms"), F.col("_whole.ms")) * 100).alias("pct_runtime"),
+            (ratio(F.col("_io"), F.col("_whole.io")) * 100).alias("pct_io"),
         )
     )
 

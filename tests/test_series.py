@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import at, got, samples
 from pyspark.sql import functions as F
@@ -47,9 +48,7 @@ def test_lttb_of_a_constant_series(spark):
     assert len(rows) == 10 and {v for _t, v in rows} == {5.0}
 
 
-@pytest.mark.parametrize("small", [10**6, 50])
-def test_exact_quantiles(spark, monkeypatch, small):
-    monkeypatch.setattr(quantiles, "_SMALL", small)
+def test_exact_quantiles(spark):
     rng = random.Random(1)
     groups = {1: [rng.gauss(0, 1) for _ in range(60_001)], 2: [float(rng.randrange(5)) for _ in range(20_000)], 3: [7.0], 4: [1.0, 2.0]}
     df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k INT, v DOUBLE")
@@ -102,3 +101,15 @@ def test_server_log_file(spark, tmp_path):
     ]
     plans = snapshots.slow_plans(snapshots.logged_plans(df, "db", "report"))
     assert got(plans, "queryid", "duration", "total_cost", "bytes_read", "io_read_time") == [(42, 700.25, 12.5, 24576, 0.5)]
+
+
+def test_quantiles_of_small_and_large_groups(spark):
+    rng = np.random.default_rng(1)
+    sizes = [1, 2, 3, 4, 5, 7, 10, 11, 13, 20, 21, 99, 101, 2000, 9999, 10_001, 15_001, 20_000, 30_011, 150_000]
+    groups = [rng.normal(size=n) for n in sizes] + [rng.integers(0, max(2, n // 3), n).astype(float) for n in sizes]
+    rows = pd.concat(pd.DataFrame({"g": i, "v": v}) for i, v in enumerate(groups))
+    wanted = {"zero": 0.0, "a": 0.05, "b": 0.1, "c": 0.25, "d": 0.5, "e": 0.75, "f": 0.95, "h": 0.99, "one": 1.0}
+    out = quantiles.exact_quantiles(spark.createDataFrame(rows), ["g"], "v", wanted).toPandas().set_index("g")
+    assert len(out) == len(groups)
+    for i, v in enumerate(groups):
+        assert out.loc[i, list(wanted)].to_numpy() == pytest.approx(np.quantile(v, list(wanted.values())), rel=1e-12, abs=1e-12)
