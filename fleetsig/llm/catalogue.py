@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetsig.llm import ann, decontam, langid, lines, mixing, negatives, quality, simhash, suffixes, templates, urls
+from fleetsig.llm import ann, decontam, langid, lines, mixing, negatives, quality, simhash, spelling, suffixes, templates, urls
 from fleetsig.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +184,69 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("label", shifted)
     found = negatives.mine(rows.where("vec_id % 50 = 0"), rows)
     return found.withColumnsRenamed({"anchor": "anchor_id", "positive": "positive_id", "negative": "negative_id"})
+
+
+# CRC-32 byte by byte over the hexadecimal UTF-8 of each key; near words share a masked or a shortened string
+OP12_SQL = """
+WITH RECURSIVE steps(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) t(i)
+  UNION ALL
+  SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8
+),
+crc_table AS (SELECT i, c FROM steps WHERE k = 8),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+    FROM documents
+  ) GROUP BY doc_id, run
+),
+keyed AS (SELECT DISTINCT doc_id, run, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS h FROM runs),
+crc(doc_id, run, h, pos, c) AS (
+  SELECT doc_id, run, h, 0, CAST(4294967295 AS BIGINT) FROM keyed
+  UNION ALL
+  SELECT k.doc_id, k.run, k.h, k.pos + 1, xor(k.c >> 8, t.c)
+  FROM crc k JOIN crc_table t
+    ON t.i = xor(k.c, (instr('0123456789ABCDEF', substr(k.h, 2 * k.pos + 1, 1)) - 1) * 16
+                      + instr('0123456789ABCDEF', substr(k.h, 2 * k.pos + 2, 1)) - 1) & 255
+  WHERE 2 * k.pos < length(k.h)
+),
+hashed AS (SELECT doc_id, run, xor(c, 4294967295) AS h FROM crc WHERE 2 * pos = length(h)),
+spoilt AS (
+  SELECT r.n, CASE WHEN h.h % 97 = 0
+                   THEN substr(r.run, 1, h.h % length(r.run)) || substr(r.run, h.h % length(r.run) + 2) ELSE r.run END AS word
+  FROM runs r JOIN hashed h ON h.run = r.run AND h.doc_id IS NOT DISTINCT FROM r.doc_id
+),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spoilt WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM places),
+pairs AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM cuts x JOIN cuts y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION
+  SELECT x.word, w.word, w.n FROM cuts x JOIN words w ON w.word = x.a || x.b
+  UNION
+  SELECT w.word, x.word, x.n FROM cuts x JOIN words w ON w.word = x.a || x.b
+),
+best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pairs GROUP BY word
+),
+judged AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 2 * w.n THEN b.near END AS form,
+         CASE WHEN b.near_n >= 2 * w.n THEN b.near_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word
+),
+paths(word, last, step) AS (
+  SELECT word, word, 0 FROM judged
+  UNION ALL
+  SELECT p.word, j.form, p.step + 1 FROM paths p JOIN judged j ON j.word = p.last WHERE j.form IS NOT NULL
+),
+roots AS (SELECT word, first(last ORDER BY step DESC) AS root FROM paths GROUP BY word)
+SELECT j.word, j.form, r.root, j.n, j.n_near, j.form_n FROM judged j JOIN roots r ON r.word = j.word
+"""
+
+
+@register("op12_spelling_variants", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), least_letters=5, least=3, ratio=2, spoil=97)
