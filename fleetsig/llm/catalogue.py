@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetsig.llm import ann, decontam, langid, lines, mixing, negatives, quality, simhash, spelling, suffixes, templates, urls
+from fleetsig.llm import (
+    ann, decontam, langid, lines, mixing, negatives, packing, quality, simhash, spelling, suffixes, templates, urls,
+)
 from fleetsig.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,3 +252,9 @@ SELECT j.word, j.form, r.root, j.n, j.n_near, j.form_n FROM judged j JOIN roots
 @register("op12_spelling_variants", OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), least_letters=5, least=3, ratio=2, spoil=97)
+
+
+@register("op13_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(table(spark, sf_dir, "documents"), capacity=2048)
+    return found.withColumnsRenamed({"key": "doc_id", "sequence": "sequence_id"})
