@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import cycle
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,10 @@ GRAINS = (32, 128, 16, 32, 64, 8, 32, 16, 64, 32, 8)  # 432 tokens for four wind
 GRAIN_SHARE = 108 / 2048
 BUNDLE = 32  # shorter texts are bundled up to this, which bounds the partitions of a group
 _BYTES = 1 << 20
+_KNOWN = 600_000  # words whose ids a task remembers
+# runs of marks between letters, digits and spaces; neither apostrophes nor the marks of special tokens
+_MARKS = re.compile(r"(?<![^\w\s]|_)[.,;:!?\"()\[\]{}*&$%#@~^=+/-]+(?![^\w\s]|_)")
+_NO_SPACE = re.compile("[\x1c-\x1f]")  # str.split cuts at these, the tokenizer does not
 
 
 @lru_cache(maxsize=2)
@@ -42,15 +48,73 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _token_ids(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
+def _ids(found) -> bytes:
+    return np.array(found.ids, "<u4").tobytes()
+
+
+class Encoder:
+    """Ids of texts as little-endian bytes; with ``by_word`` each word between white space is encoded once."""
+
+    def __init__(self, path: str, by_word: bool):
+        self.tokenizer, self.by_word = _tokenizer(path), by_word
+        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab() if by_word else {}
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def direct(self, texts: list[str]) -> list[bytes]:
+        return [_ids(x) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words_of_letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters only, encoded as lines of many; the last id of each word is marked as its end."""
+        out = []
+        for at in range(0, len(words), 500):
+            some = words[at : at + 500]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some) and stops[-1] == len(ids):
+                whole, edges = ids.tobytes(), [0, *(4 * stops).tolist()]
+                out += [whole[a:b] for a, b in zip(edges, edges[1:])]
+            else:
+                out += self.direct(some)
+        return out
+
+    def _words(self, text: str) -> list[str] | None:
+        """Parts whose ids make up those of the text: words, and runs of marks that stand alone beside them."""
+        if _NO_SPACE.search(text):
+            return None
+        # special tokens are matched before case is folded, a final sigma is folded letter by letter, and folding or
+        # composing may turn a letter into more than one sign
+        folded = text.lower()
+        if "<|" in text or "Σ" in text or not is_normalized("NFC", text) or not is_normalized("NFC", folded):
+            return text.split()
+        return _MARKS.sub(r" \g<0> ", folded).split()
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        if not self.by_word:
+            yield from self.direct(texts)
+            return
+        if len(self.known) > _KNOWN:
+            self.known.clear()
+        split = [self._words(t) for t in texts]
+        new = set().union(*filter(None, split)).difference(self.known)
+        words = list(filter(str.isalpha, new))
+        rest = list(new.difference(words))
+        self.known.update(zip(words, self._words_of_letters(words)))
+        self.known.update(zip(rest, self.direct(rest)))
+        for text, parts in zip(texts, split):
+            yield b"".join(map(self.known.__getitem__, parts)) if parts is not None else self.direct([text])[0]
+
+
+def _token_ids(texts: pa.Array, encoder: Encoder) -> Iterator[np.ndarray]:
     """Token ids of each text, about a megabyte of text at a time; nulls are empty."""
     held, size = [], 0
     for i, text in enumerate(texts):
         held.append(text.as_py() or "")
         size += len(held[-1])
         if size > _BYTES or i == len(texts) - 1:
-            for found in _tokenizer(path).encode_batch_fast(held, add_special_tokens=False):
-                yield np.array(found.ids, "<u4")
+            for found in encoder.encode(held):
+                yield np.frombuffer(found, "<u4")
             held, size = [], 0
 
 
@@ -158,15 +222,17 @@ def placed(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(
-    docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 1, with_ids: bool = False,
-    key: str = "doc_id", text: str = "text",
+    docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, by_word: bool = True, end_id: int = 1,
+    with_ids: bool = False, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """``(key, start, length, ids_crc32, doc_tokens, sequence, offset)`` of every piece of every text.
 
     A text's tokens are its ids under ``tokenizer`` (a file of the tokenizers library; the public word-piece file by
     default) and ``end_id``. Each token lies in exactly one piece, each piece in one sequence of at most ``capacity``
     tokens, whose pieces follow each other without a gap from offset 0. The CRC-32 is over the piece's ids as little-endian
-    unsigned 32-bit numbers; ``with_ids`` adds the ids themselves. Null and empty texts are one token; rows with a null or
+    unsigned 32-bit numbers; ``with_ids`` adds the ids themselves. ``by_word`` encodes each word between white space once and
+    remembers its ids, which is right for tokenizers that drop white space, fold ASCII case, part letters from marks and end
+    words by ``</w>``, as the default one does; pass False for others. Null and empty texts are one token; rows with a null or
     repeated key are packed as rows of their own; an empty table gives no rows; other columns are ignored. Which
     pieces share a sequence depends on how the table is split into tasks.
     """
@@ -176,12 +242,13 @@ def pack(
     names = ["key", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(path, by_word)
         for part in batches:
             # lengths and ids go side by side: a text's cuts depend on the lengths before it only
             ahead: list[np.ndarray] = []
 
             def lengths(part=part, ahead=ahead):
-                for ids in _token_ids(part.column(1), path):
+                for ids in _token_ids(part.column(1), encoder):
                     ahead.append(np.append(ids, np.uint32(end_id)))
                     yield len(ahead[-1])
 

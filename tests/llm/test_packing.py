@@ -84,3 +84,13 @@ def test_little_padding(spark):
     rows = [(i, " ".join(["river"] * n), "en") for i, n in enumerate(sizes)] + [(5000, "", "en")] * 400
     got = packing.pack(documents(spark, rows), 1000, with_ids=True).collect()
     assert check(rows, got, 1000) < 0.02
+
+
+def test_words_give_the_ids_of_whole_texts():
+    """Any mix of letters, marks, digits, spaces and special tokens, composed or not."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    by_word, whole = packing.Encoder(path, True), packing.Encoder(path, False)
+    rng = np.random.default_rng(4)
+    letters = list("aAsStT'’.,_-<|>eé́ΣσİǰΐK1²½Ⅳ \t\n\x1c\x85€…()\"dक़​汉한👍") + ["<|endoftext|>", "<|ENDOFTEXT|>", "'re", "..."]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 20))) for _ in range(6000)]
+    assert list(by_word.encode(texts)) == list(whole.encode(texts)) == list(by_word.encode(texts))
