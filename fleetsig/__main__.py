@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetsig import schema
 from fleetsig.operators import alarms
-from fleetsig.plans import refresh
+from fleetsig.plans import incremental, refresh
 from fleetsig.session import build_session
 from fleetsig.sources import ingest, tabular
 from fleetsig.sources.lake import Lake, parse_day
@@ -34,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
     vacuum.add_argument("--days", type=float, default=7, help="keep what was replaced more recently")
     compact = sub.add_parser("compact", help="merge the files of event days")
     compact.add_argument("--day", type=parse_day, nargs="*", help="DD-MM-YYYY; all days if none is given")
-    sub.add_parser("refresh-stats", help="recompute the recent day buckets")
+    sub.add_parser("refresh-stats", help="bring all derived tables up to date: recent day buckets, and the others from what was imported")
     clean = sub.add_parser("clean-inst", help="delete an instrument, or its older events")
     clean.add_argument("-i", "--instrument", type=int, required=True)
     clean.add_argument("--date", type=parse_day, help="delete only events before DD-MM-YYYY")
@@ -98,6 +98,7 @@ def main(argv: list[str] | None = None) -> None:
         now = datetime.now(timezone.utc)
         for name in refresh.DAILY:
             refresh.refresh_window(lake, name, now)
+        incremental.refresh_changed(lake)
     elif args.command == "clean-inst":
         if args.date:
             lake.delete_before(args.instrument, args.date)

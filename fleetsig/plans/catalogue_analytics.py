@@ -118,12 +118,21 @@ def _(spark, sf):
 
 @register(
     "an06_tag_points",
-    f"""{EPU_SESSIONS}
+    """marks AS MATERIALIZED (
+      SELECT instrument_id, param_id, time, value_num
+      FROM data JOIN parameters USING (instrument_id, param_id)
+      WHERE param_name = 'EpuSessionID' AND subsystem = 'EPU'
+      QUALIFY value_num <> LAG(value_num) OVER (PARTITION BY instrument_id, param_id ORDER BY time)),
+    spans AS MATERIALIZED (
+      SELECT instrument_id, CAST(value_num AS INTEGER) AS session_id, time AS start_time,
+             LEAD(time) OVER (PARTITION BY instrument_id, param_id ORDER BY time) AS end_time
+      FROM marks),
+    points AS MATERIALIZED (
+      SELECT d.instrument_id, d.time, d.value_num
+      FROM data d JOIN parameters p USING (instrument_id, param_id) WHERE p.param_name = 'CompletedExposuresCount')
     SELECT d.instrument_id, d.time, d.value_num, s.session_id, s.start_time, s.end_time
-    FROM epu_sessions s JOIN data d ON d.instrument_id = s.instrument_id
-      AND d.time >= s.start_time AND d.time < s.end_time
-    JOIN parameters p ON p.instrument_id = d.instrument_id AND p.param_id = d.param_id
-    WHERE p.param_name = 'CompletedExposuresCount'""",
+    FROM points d ASOF JOIN spans s ON d.instrument_id = s.instrument_id AND d.time >= s.start_time
+    WHERE s.session_id <> 0 AND d.time < s.end_time""",
 )
 def _(spark, sf):
     f = fleet(spark, sf)

@@ -346,14 +346,19 @@ def _(spark, sf):
 
 @register(
     "dq22_family_pressure",
-    f"""family AS (
-      SELECT d.instrument_id, ARG_MAX(e.member_name, d.time) AS family
-      FROM data d JOIN parameters p USING (instrument_id, param_id)
-      JOIN enum_values e ON e.enum_id = p.enum_id AND e.value = d.value_num
-      WHERE p.param_name = 'ProductFamily' AND d.value_num > 0 GROUP BY 1)
-    SELECT d.instrument_id, d.time, d.value_num AS pressure
-    FROM data d JOIN parameters p USING (instrument_id, param_id) JOIN family f USING (instrument_id)
-    WHERE p.param_name = CASE WHEN f.family = 'Talos' THEN 'PPmPressure' ELSE 'CCGpPressure' END AND d.time {RANGE}""",
+    f"""wanted AS MATERIALIZED (
+      SELECT instrument_id, param_id, param_name, enum_id FROM parameters
+      WHERE param_name IN ('ProductFamily', 'PPmPressure', 'CCGpPressure')),
+    samples AS MATERIALIZED (
+      SELECT d.instrument_id, d.time, d.value_num, w.param_name, w.enum_id
+      FROM data d JOIN wanted w USING (instrument_id, param_id)),
+    family AS MATERIALIZED (
+      SELECT s.instrument_id, ARG_MAX(e.member_name, s.time) AS family
+      FROM samples s JOIN enum_values e ON e.enum_id = s.enum_id AND e.value = s.value_num
+      WHERE s.param_name = 'ProductFamily' AND s.value_num > 0 GROUP BY 1)
+    SELECT s.instrument_id, s.time, s.value_num AS pressure
+    FROM samples s JOIN family f USING (instrument_id)
+    WHERE s.param_name = CASE WHEN f.family = 'Talos' THEN 'PPmPressure' ELSE 'CCGpPressure' END AND s.time {RANGE}""",
 )
 def _(spark, sf):
     return D.pressure_series(fleet(spark, sf), FROM, TO)

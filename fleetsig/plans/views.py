@@ -187,14 +187,17 @@ def classify_labels(labels: DataFrame, classes: Mapping, otherwise: str = "unkno
     return labels.withColumn("state", state)
 
 
+def vacuum_samples(fleet: Fleet) -> DataFrame:
+    """Samples of the vacuum signals with the class of their state."""
+    codes = vacuum_classes(fleet)
+    sig = fleet.signal(S.VACUUM)
+    sig = sig.select("instrument_id", "time", "value_num", *(["day"] if "day" in sig.columns else []))
+    return sig.join(codes.withColumn("value_num", F.col("enum_value").cast("double")), ["instrument_id", "value_num"])
+
+
 def vacuum_intervals(fleet: Fleet) -> DataFrame:
     """Known vacuum states in time order, unknown ones bridged; the last one is open."""
-    codes = vacuum_classes(fleet)
-    sig = fleet.signal(S.VACUUM).select("instrument_id", "time", "value_num")
-    labelled = sig.join(
-        codes.withColumn("value_num", F.col("enum_value").cast("double")), ["instrument_id", "value_num"]
-    )
-    return intervals.state_intervals(labelled, list(S.VACUUM_CLASSES))
+    return intervals.state_intervals(vacuum_samples(fleet), list(S.VACUUM_CLASSES))
 
 
 def occupancy_intervals(fleet: Fleet, off: DataFrame | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ import time
 import uuid
 from collections.abc import Sequence
 from contextlib import contextmanager
-from datetime import date, datetime, timedelta
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +23,7 @@ from fleetsig.session import prepare
 ERRORS = "alarms/errors"
 # parameter first: most questions ask for one signal of the whole fleet
 SORT = ["param_id", "instrument_id", "time"]
+CHANGES = "instrument_id INT, param_id INT, since TIMESTAMP"
 _STORED_EVENTS = StructType([*schema.EVENTS.fields, StructField("day", DateType())])
 
 
@@ -169,10 +170,20 @@ class Lake:
         rows = incoming.select(*schema.EVENTS.fieldNames()).withColumn("day", F.to_date("time"))
         if not self._has_events():
             self._write_days(rows.dropDuplicates(schema.EVENT_KEY), "append")
+            self._note_changes(_earliest(rows))
             return
         days = _days(rows)
-        if days:
-            self._write_days(append_dedup(self.events(days), rows), "append")
+        if not days:
+            return
+        with self.staging() as stage:
+            fresh = stage(append_dedup(self.events(days), rows))
+            if fresh.isEmpty():
+                return
+            # noted before, as a repeated import finds these rows stored; and after, for a refresh that came in between
+            noted = _earliest(fresh)
+            self._note_changes(noted)
+            self._write_days(fresh, "append")
+            self._note_changes(noted)
 
     def _has_events(self) -> bool:
         fs, where = self._fs(self.path("data"))
@@ -184,13 +195,37 @@ class Lake:
         if not days:
             return
         with self.staging() as stage:
+            gone = stage(_earliest(self.events(days).where(condition)))
+            self._note_changes(gone)
             survivors = stage(self.events(days).where(~F.coalesce(condition, F.lit(False))))
             left = set(_days(survivors))
             if left:
                 self._write_days(survivors, "overwrite")
-        for day in days:
-            if day not in left:
-                self._remove(f"{self.path('data')}/day={day}")
+            for day in days:
+                if day not in left:
+                    self._remove(f"{self.path('data')}/day={day}")
+            # once more for a refresh that came between the first note and the end
+            self._note_changes(gone)
+
+    def _note_changes(self, earliest: DataFrame) -> None:
+        """Note the earliest time touched of each signal, a folder per import, for the refresh of derived tables."""
+        earliest.write.parquet(f"{self.path('changes')}/note={uuid.uuid4().hex}")
+
+    def pending_changes(self) -> list[str]:
+        """Notes no refresh has dealt with; their number is that of imports and deletions since the last refresh."""
+        fs, where = self._fs(self.path("changes"))
+        found = [f.getPath() for f in fs.listStatus(where)] if fs.exists(where) else []
+        done = [p for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(p.toString() for p in done)
+
+    def changes(self, notes: Sequence[str]) -> DataFrame:
+        """Earliest time touched (``since``) of each signal."""
+        rows = self.spark.read.schema(CHANGES).parquet(*notes)
+        return rows.groupBy("instrument_id", "param_id").agg(F.min("since").alias("since"))
+
+    def forget_changes(self, notes: Sequence[str]) -> None:
+        for path in notes:
+            self._remove(path)
 
     def compact(self, days: Sequence[date] | None = None) -> None:
         """Rewrite days of events, each import having added files to them, as few sorted files."""
@@ -266,17 +301,14 @@ class Lake:
             writer = writer.partitionBy(partition)
         writer.parquet(self.path(f"views/{name}/version={(versions[-1] if versions else 0) + 1}"))
 
+    def has_view(self, name: str) -> bool:
+        return bool(self._versions(f"views/{name}"))
+
     def write_view_days(self, name: str, df: DataFrame, column: str, start: date, end: date) -> None:
-        """Replace the day partitions [start, end) of a derived table, also by nothing. The rows are computed once."""
-        table = self._newest_view(name)
-        with self.staging() as stage:
-            staged = stage(df)
-            left = {r[0] for r in staged.select(column).distinct().collect()}
-            if left:
-                staged.write.mode("overwrite").partitionBy(column).parquet(table)
-        for day in (start + timedelta(n) for n in range((end - start).days)):
-            if day not in left:
-                self._remove(f"{table}/{column}={day}")
+        """Replace the days [start, end) of a derived table, also by nothing, as a new version beside the one readers hold."""
+        day = F.col(column)
+        kept = self.view(name, df.schema).where(~((day >= F.lit(start)) & (day < F.lit(end))))
+        self.write_view(name, kept.unionByName(df), column)
 
     # files
 
@@ -319,6 +351,10 @@ class Lake:
         fs.delete(where, True)
 
 
+def _earliest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("instrument_id", "param_id").agg(F.min("time").alias("since"))
+
+
 def _days(rows: DataFrame) -> list[date]:
     """Distinct days of the rows; their number is bounded by the calendar."""
     return [r[0] for r in rows.select("day").distinct().where("day IS NOT NULL").collect()]
