@@ -364,7 +364,45 @@ def _(spark, sf):
     return D.pressure_series(fleet(spark, sf), FROM, TO)
 
 
-@register("dq23_lttb")
+LTTB_POINTS = 60  # two for each day of the range
+
+
+@register(
+    "dq23_lttb",
+    # the published walk, bucket after bucket
+    f"""samples AS (
+      SELECT d.instrument_id, d.param_id, d.time, d.value_num AS y
+      FROM data d JOIN parameters p USING (instrument_id, param_id)
+      WHERE p.subsystem = 'MdlFluScreenBrick' AND p.param_name = 'ScreenCurrent' AND d.time {RANGE} AND d.value_num IS NOT NULL),
+    ranked AS MATERIALIZED (
+      SELECT *, ROW_NUMBER() OVER w - 1 AS i, COUNT(*) OVER (PARTITION BY instrument_id, param_id) AS n,
+             epoch_us(time) - MIN(epoch_us(time)) OVER (PARTITION BY instrument_id, param_id) AS x
+      FROM samples WINDOW w AS (PARTITION BY instrument_id, param_id ORDER BY time)),
+    edges AS (
+      SELECT instrument_id, param_id, b, CAST(FLOOR((b - 1) * ((n - 2) / {LTTB_POINTS - 2}.0::DOUBLE)) AS BIGINT) + 1 AS lo,
+             CAST(FLOOR(b * ((n - 2) / {LTTB_POINTS - 2}.0::DOUBLE)) AS BIGINT) AS hi
+      FROM (SELECT DISTINCT instrument_id, param_id, n FROM ranked WHERE n > {LTTB_POINTS}), range(1, {LTTB_POINTS - 1}) t(b)),
+    dealt AS MATERIALIZED (
+      SELECT r.*, CASE WHEN i = 0 THEN 0 WHEN i = n - 1 THEN {LTTB_POINTS - 1} ELSE e.b END AS bucket
+      FROM ranked r LEFT JOIN edges e ON e.instrument_id = r.instrument_id AND e.param_id = r.param_id AND r.i BETWEEN e.lo AND e.hi
+      WHERE n > {LTTB_POINTS}),
+    means AS MATERIALIZED (
+      SELECT instrument_id, param_id, bucket, SUM(x)::DOUBLE / COUNT(*) AS mx, AVG(y) AS my FROM dealt GROUP BY ALL),
+    walk AS (
+      SELECT instrument_id, param_id, bucket, time, x, y FROM dealt WHERE bucket = 0
+      UNION ALL
+      SELECT instrument_id, param_id, bucket, time, x, y FROM (
+        SELECT c.instrument_id, c.param_id, c.bucket, c.time, c.x, c.y,
+               ROW_NUMBER() OVER (PARTITION BY c.instrument_id, c.param_id ORDER BY
+                 ABS((w.x - m.mx) * (c.y - w.y) - (w.x - c.x) * (m.my - w.y)) DESC NULLS LAST, c.x) AS place
+        FROM walk w
+        JOIN dealt c ON c.instrument_id = w.instrument_id AND c.param_id = w.param_id AND c.bucket = w.bucket + 1
+        LEFT JOIN means m ON m.instrument_id = w.instrument_id AND m.param_id = w.param_id AND m.bucket = w.bucket + 2)
+      WHERE place = 1)
+    SELECT instrument_id, param_id, time, y AS value_num FROM walk
+    UNION ALL SELECT instrument_id, param_id, time, y FROM ranked WHERE n <= {LTTB_POINTS}""",
+    recursive=True,
+)
 def _(spark, sf):
     return D.downsampled(fleet(spark, sf), S.SCREEN_CURRENT, FROM, TO, step=86400)
 

@@ -21,7 +21,7 @@ def plain(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in instants})
 
 
-def register(name: str, sql: str | None = None, fleet: bool = True):
+def register(name: str, sql: str | None = None, fleet: bool = True, recursive: bool = False):
     """Register a query; ``sql`` is a list of CTEs and a SELECT over the fleet tables, or a whole statement."""
 
     def add(fn: Query) -> Query:
@@ -29,7 +29,8 @@ def register(name: str, sql: str | None = None, fleet: bool = True):
         if sql is not None:
             body = sql.strip()
             if fleet:
-                body = f"WITH {SQL_FLEET}, {body}" if not body.upper().startswith("SELECT") else f"WITH {SQL_FLEET} {body}"
+                joined = f"{SQL_FLEET} {body}" if body.upper().startswith("SELECT") else f"{SQL_FLEET}, {body}"
+                body = f"WITH {'RECURSIVE ' if recursive else ''}{joined}"
             ORACLES[name] = body
         return fn
 

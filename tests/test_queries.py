@@ -45,5 +45,5 @@ def test_entry_and_catalogue(spark):
     assert entry.entry(spark).count() > 0
     from fleetsig.plans.registry import ORACLES, QUERIES
 
-    assert set(QUERIES) - set(ORACLES) == {"dq23_lttb"}
+    assert set(QUERIES) == set(ORACLES)
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())

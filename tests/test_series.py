@@ -8,6 +8,7 @@ from helpers import at, got, samples
 from pyspark.sql import functions as F
 
 from fleetsig.operators import quantiles, series, snapshots
+from fleetsig.operators import downsample
 from fleetsig.operators.downsample import lttb
 
 
@@ -42,6 +43,36 @@ def test_lttb_equals_the_published_algorithm(spark, n_out):
     assert got(out, "instrument_id", "time", "value_num") == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("chunk", [7, 40])
+def test_lttb_by_chunks_of_any_size(spark, chunk):
+    """Series of several lengths at once; a convex one, whose rows are all corners."""
+    rng = random.Random(chunk)
+    series = {1: [(x, rng.gauss(0, 1)) for x in range(300)], 2: [(x, float(x * x)) for x in range(230)], 3: [(x, rng.gauss(0, 9)) for x in range(31)]}
+    rows = [(k, 1, x, y) for k, points in series.items() for x, y in points]
+    out = lttb(samples(spark, rows), ["instrument_id"], "time", "value_num", 30, chunk=chunk)
+    want = [(k, float(x), y) for k, points in series.items() for x, y in reference_lttb(points, 30)]
+    assert got(out, "instrument_id", "time", "value_num") == sorted(want, key=repr)
+
+
+def test_lttb_never_gathers_a_convex_series(spark, monkeypatch):
+    sizes = spark.sparkContext.accumulator(0)
+    walk = downsample._walk
+
+    def counting(key):
+        inner = walk(key)
+
+        def choose(pdf):
+            sizes.add(1 << 40 if len(pdf) > 5000 else 1)
+            return inner(pdf)
+
+        return choose
+
+    monkeypatch.setattr(downsample, "_walk", counting)
+    rows = spark.range(30_000).selectExpr("1 AS instrument_id", "timestamp_seconds(id) AS time", "double(id * id) AS value_num")
+    out = lttb(rows, ["instrument_id"], "time", "value_num", 60, chunk=3000)
+    assert out.count() == 60 and 8 < sizes.value < 1 << 40
+
+
 def test_lttb_of_a_constant_series(spark):
     out = lttb(samples(spark, [(1, 1, s, 5) for s in range(100)]), ["instrument_id"], "time", "value_num", 10)
     rows = got(out, "time", "value_num")
