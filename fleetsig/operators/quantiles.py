@@ -2,67 +2,104 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ACCURACY = 10_000
+from fleetsig.session import checkpoint_dir
 
+FIT = 100_000  # distinct values that may be ordered in one task
+SPLITS = 64
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, wanted: Mapping[str, float]) -> DataFrame:
-    """Linearly interpolated quantiles per group, one column per entry of ``wanted``.
 
-    A first pass sketches each group and brackets every quantile by four times the sketch's rank error. A second
-    pass counts what lies below and above the bracket and ranks the distinct values inside it, so no task ever holds
-    more of a group than the bracket. The two values a quantile lies between are in the bracket or, in groups so small that
-    the sketch is exact, right beside it; so the nearest value on each side is kept as well.
+def counts(df: DataFrame, by: Sequence[str], value: str, *more: Column) -> DataFrame:
+    """How often each value ``_v`` of a group occurs (``_c``), combined map-side: the one pass over the rows."""
+    return df.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"), *more)
+
+
+def fits(counted: DataFrame, by: Sequence[str], fit: int = FIT) -> bool:
+    """Whether no group has more distinct values than one task may order."""
+    return counted.groupBy(*by).count().where(F.col("count") > fit).isEmpty()
+
+
+def _usable() -> Column:
+    return F.col("_v").isNotNull() & ~F.isnan("_v")
+
+
+def ranked(counted: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Counted values with the ranks ``_from`` (included) to ``_to`` (excluded) they hold, and the group's size ``_n``.
+
+    Orders a group's distinct values in one task. Missing values hold no rank.
+    """
+    c = F.when(_usable(), F.col("_c")).otherwise(0)
+    group = Window.partitionBy(*by)
+    upto = F.sum(c).over(group.orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    return counted.withColumns({"_to": upto, "_from": upto - c, "_n": F.sum(c).over(group)})
+
+
+def quantile_of(q: float) -> Column:
+    """Aggregate over ranked values: the linearly interpolated quantile."""
+    rank = F.lit(q) * (F.col("_n") - 1)
+    a, b = (F.max(F.when((F.col("_from") <= r) & (r < F.col("_to")), F.col("_v"))) for r in (F.floor(rank), F.ceil(rank)))
+    weight = F.max(rank - F.floor(rank))
+    return F.when(weight == 0, a).otherwise(a + (b - a) * weight)
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, wanted: Mapping[str, float], fit: int = FIT) -> DataFrame:
+    """Linearly interpolated quantiles per group, one column per entry of ``wanted``; groups without a value are absent.
+
+    The rows are read once, for the counts of their values, which are written. Where a group has more distinct values than a
+    task may order, :func:`selected` narrows them down for all groups at once.
+    """
+    by = list(by)
+    counted = _stored(counts(df.where(F.col(value).isNotNull() & ~F.isnan(value)), by, value))
+    if not fits(counted, by, fit):
+        return selected(counted, by, wanted, fit)
+    return ranked(counted, by).groupBy(*by).agg(*[quantile_of(q).alias(name) for name, q in wanted.items()])
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    path = f"{checkpoint_dir(df.sparkSession)}/ranks-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def selected(counted: DataFrame, by: Sequence[str], wanted: Mapping[str, float], fit: int = FIT) -> DataFrame:
+    """The same by selection in rounds.
+
+    A round cuts what is left for a wanted rank at ``SPLITS`` of its values, adds up the counts of the parts, and keeps the part
+    the rank falls into. It is over when no part has more than ``fit`` distinct values; each round leaves about
+    a ``SPLITS``th, and no task orders more than the parts of a rank or ``fit`` values.
     """
     by = list(by)
-    margin = 4.0 / _ACCURACY
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).alias("_v"))
-    marks = [p for q in wanted.values() for p in (max(q - margin, 0.0), min(q + margin, 1.0))]
-    sketch = (
-        rows.groupBy(*by)
-        .agg(F.count("*").alias("_n"), F.percentile_approx("_v", marks, _ACCURACY).alias("_marks"))
-        .select(
-            *by,
-            "_n",
-            F.posexplode(F.array(*[
-                F.struct(
-                    F.lit(name).alias("name"),
-                    (F.lit(q) * (F.col("_n") - 1)).alias("rank"),
-                    F.get("_marks", F.lit(2 * i)).alias("lo"),
-                    F.get("_marks", F.lit(2 * i + 1)).alias("hi"),
-                )
-                for i, (name, q) in enumerate(wanted.items())
-            ])).alias("_which", "_q"),
+    target = [*by, "_name", "_side"]
+    size = F.sum("_c").alias("_n")
+    places = counted.groupBy(*by).agg(size).select(*by, F.explode(F.array(*[
+        F.struct(F.lit(name).alias("_name"), F.lit(side).alias("_side"), cut(F.lit(q) * (F.col("_n") - 1)).alias("_rank"))
+        for name, q in wanted.items() for side, cut in enumerate((F.floor, F.ceil))
+    ])).alias("_t")).select(*by, "_t.*")
+    weights = counted.groupBy(*by).agg(size)
+    left = _stored(counted.join(places, by))
+    while not fits(left, target, fit):
+        marks = left.groupBy(*target).agg(
+            F.percentile_approx("_v", [i / SPLITS for i in range(1, SPLITS)], 1000).alias("_marks")
         )
-        .select(*by, "_q.*")
-    )
-    # value -> count first, then the few quantiles of the group are attached
-    counted = rows.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
-    placed = counted.join(sketch, by)
-    side = F.when(F.col("_v") < F.col("lo"), -1).when(F.col("_v") > F.col("hi"), 1).otherwise(0)
-    # all values on one side of the bracket collapse into one row, at the one nearest to it
-    bracket = (
-        placed.withColumn("_side", side)
-        .groupBy(*by, "name", "rank", "_side", F.when(F.col("_side") == 0, F.col("_v")).alias("_inside"))
-        .agg(F.sum("_c").alias("_c"), F.max("_v").alias("_top"), F.min("_v").alias("_low"))
-        .withColumn("_v", F.when(F.col("_side") < 0, F.col("_top")).otherwise(F.col("_low")))
-    )
-    ordered = Window.partitionBy(*by, "name").orderBy("_v")
-    upto = F.sum("_c").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = bracket.withColumns({"_to": upto}).withColumn("_from", F.col("_to") - F.col("_c"))
-
-    def at(rank):
-        return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_v")))
-
-    low, high = F.floor("rank"), F.ceil("rank")
-    points = ranked.groupBy(*by, "name").agg(
-        at(low).alias("_a"), at(high).alias("_b"), F.max(F.col("rank") - low).alias("_w")
-    )
-    blend = F.when(F.col("_w") == 0, F.col("_a")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w"))
-    return points.groupBy(*by).agg(
-        *[F.max(F.when(F.col("name") == name, blend)).alias(name) for name in wanted]
-    )
+        part = F.aggregate("_marks", F.lit(0), lambda n, m: n + (m < F.col("_v")).cast("int"))
+        parts = left.join(marks, target).withColumn("_part", part).drop("_marks")
+        sums = parts.groupBy(*target, "_rank", "_part").agg(F.sum("_c").alias("_c"))
+        upto = F.sum("_c").over(Window.partitionBy(*target).orderBy("_part"))
+        chosen = sums.withColumn("_to", upto).where((F.col("_to") - F.col("_c") <= F.col("_rank")) & (F.col("_rank") < F.col("_to")))
+        chosen = chosen.select(*target, "_part", (F.col("_rank") - F.col("_to") + F.col("_c")).alias("_within"))
+        left = _stored(parts.join(chosen, [*target, "_part"]).drop("_part", "_rank").withColumnRenamed("_within", "_rank").select(left.columns))
+    upto = F.sum("_c").over(Window.partitionBy(*target).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = left.withColumn("_to", upto).where((F.col("_to") - F.col("_c") <= F.col("_rank")) & (F.col("_rank") < F.col("_to")))
+    out = found.join(weights, by).groupBy(*by)
+    columns = []
+    for name, q in wanted.items():
+        a, b = (F.max(F.when((F.col("_name") == name) & (F.col("_side") == side), F.col("_v"))) for side in (0, 1))
+        rank = F.lit(q) * (F.max("_n") - 1)
+        weight = rank - F.floor(rank)
+        columns.append(F.when(weight == 0, a).otherwise(a + (b - a) * weight).alias(name))
+    return out.agg(*columns)

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetsig.functions.times import ratio, time_bucket
+from fleetsig.operators import quantiles
 from fleetsig.operators.metadata import SIGNAL_KEY, any_of, with_ids_of
-from fleetsig.operators.quantiles import exact_quantiles
 
 
 def share_of_total(df: DataFrame, by: Sequence[str], part: str, amount: str) -> DataFrame:
@@ -76,16 +76,25 @@ def bucket_avg(
 
 
 def reduce_series(samples: DataFrame, by: Sequence[str], value: str = "value_num") -> DataFrame:
-    """min, max, median, sum, mean and last non-NULL value per series."""
-    known = F.col(value).isNotNull()
-    plain = samples.groupBy(*by).agg(
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        F.sum(value).alias("sum"),
-        F.avg(value).alias("mean"),
-        F.max_by(value, F.when(known, F.col("time"))).alias("last_not_null"),
-    )
-    return plain.join(exact_quantiles(samples, by, value, {"median": 0.5}), list(by), "left")
+    """min, max, median, sum, mean and last non-NULL value per series.
+
+    All come from one table of how often, and when last, each value occurs; its values are ordered for the median.
+    """
+    by = list(by)
+    counted = quantiles.counts(samples, by, value, F.max("time").alias("_at"))
+    known = F.col("_v").isNotNull()
+    total = F.sum(F.col("_v") * F.col("_c"))
+    plain = [
+        F.min("_v").alias("min"),
+        F.max("_v").alias("max"),
+        total.alias("sum"),
+        (total / F.sum(F.when(known, F.col("_c")))).alias("mean"),
+        F.max_by("_v", F.when(known, F.col("_at"))).alias("last_not_null"),
+    ]
+    if quantiles.fits(counted, by):
+        return quantiles.ranked(counted, by).groupBy(*by).agg(*plain, quantiles.quantile_of(0.5).alias("median"))
+    median = quantiles.selected(counted.where(known & ~F.isnan("_v")), by, {"median": 0.5})
+    return counted.groupBy(*by).agg(*plain).join(median, by, "left")
 
 
 def band(value: Column, steps: Sequence[tuple[float | None, str]]) -> Column:

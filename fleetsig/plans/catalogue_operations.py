@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from fleetsig import signals
+from fleetsig import schema, signals
 from fleetsig.operators import alarms, alerts, snapshots
 from fleetsig.plans.catalogue_analytics import EPU_SESSIONS
 from fleetsig.plans.driver_tables import events, fleet, read
 from fleetsig.plans.registry import register
+from fleetsig.session import checkpoint_dir
 from fleetsig.sources import tabular
-from fleetsig.streaming import sessions
+from fleetsig.streaming import ordered, sessions
 
 # alerts
 
@@ -469,3 +472,23 @@ def _(spark, sf):
     closed, state = sessions.advance(None, sig.where("time < '2024-01-16'"))
     later, _after = sessions.advance(state, sig.where("time >= '2024-01-16'"))
     return closed.unionByName(later)
+
+
+@register(
+    "st01_ordered_stream",
+    f"""{EPU_SESSIONS} SELECT * FROM epu_sessions WHERE end_time IS NOT NULL""",
+)
+def _(spark, sf):
+    # a real stream: batches that are shuffled and overlap, then a sample long after all others, twice, to let the watermark pass
+    sig = fleet(spark, sf).signal(signals.EPU_SESSION).select(*schema.EVENTS.fieldNames())
+    root = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    turn = F.pmod(F.xxhash64("time", "instrument_id"), F.lit(10))
+    after = sig.agg(F.max("time").alias("time")).select(
+        (F.col("time") + F.expr("INTERVAL 100 DAYS")).alias("time"), F.lit(-1).alias("instrument_id"), F.lit(1).alias("param_id"),
+        F.lit(0.0).alias("value_num"), F.lit(None).cast("string").alias("value_text"),
+    )
+    for part in (sig.where(turn < 6), sig.where(turn > 3), after, after):
+        part.write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema(schema.EVENTS).parquet(f"{root}/in")
+        ordered.stream_ordered_sessions(spark, source, f"{root}/out", f"{root}/late", f"{root}/state", late="60 days").awaitTermination()
+    return spark.read.parquet(f"{root}/out").drop("batch")

@@ -144,3 +144,20 @@ def test_quantiles_of_small_and_large_groups(spark):
     assert len(out) == len(groups)
     for i, v in enumerate(groups):
         assert out.loc[i, list(wanted)].to_numpy() == pytest.approx(np.quantile(v, list(wanted.values())), rel=1e-12, abs=1e-12)
+
+
+@pytest.mark.parametrize("fit", [20, 400])
+def test_quantiles_selected_in_rounds(spark, fit):
+    """Groups of any size, ties and a value that is most of its group, where few values may be ordered at once."""
+    rng = np.random.default_rng(fit)
+    groups = {
+        0: rng.normal(size=3000), 1: np.exp(40 * rng.normal(size=2500)), 2: np.r_[np.full(4000, 2.5), rng.normal(size=900)], 3: np.array([7.0]),
+        4: np.arange(500.0) % 7, 5: np.array([1.0, 2.0]),
+    }
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [(6, None), (0, None), (4, float("nan"))]
+    df = spark.createDataFrame(rows, "g INT, v DOUBLE")
+    wanted = {"p0": 0.0, "p31": 0.31, "p50": 0.5, "p999": 0.999, "p100": 1.0}
+    out = quantiles.exact_quantiles(df, ["g"], "v", wanted, fit=fit).toPandas().set_index("g")
+    assert sorted(out.index) == sorted(groups)
+    for g, v in groups.items():
+        assert out.loc[g, list(wanted)].to_numpy() == pytest.approx(np.quantile(v, list(wanted.values())), rel=1e-12, abs=1e-12)
