@@ -1,7 +1,9 @@
 """Main text of pages, with site templates found by counting element subtrees per host.
 
-Every element subtree outside an article is hashed; Spark counts on how many different pages of a host each hash occurs.
-Subtrees that recur on many of them are template and go, as do the elements that a page itself marks as furniture.
+Every element subtree is hashed, also inside articles, but not an article itself or what holds one; Spark counts on how many
+different pages of a host each hash occurs. Subtrees that recur on many of them are template and go. What is left decides where
+the main text is: in the articles, else in the main elements, else on the page. Elements that a page itself
+marks as furniture go too, unless they hold an article or most of the page.
 """
 
 from __future__ import annotations
@@ -36,7 +38,15 @@ _MARKS = frozenset(
     " comment comments disqus sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead share sharing social"
     " newsletter subscribe subscription related popup modal".split()
 )
+# words beside such a mark in one class name; with any other word ("related-work") the name marks nothing
+_NEUTRAL = frozenset(
+    "area bar block body bottom box button container content form group header holder inner item items left link links list main"
+    " outer page panel post right section site slot text title top unit user widget wrap wrapper x"
+    .split()
+)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
+_SPARED = frozenset("article blockquote center div fieldset form header main p section span table tbody td tr".split())
+_SILENT = frozenset("head script style noscript template svg canvas object embed iframe".split())
 # an opening tag ends these elements, if one is open inside the nearest of those
 _ENDS = {
     "li": (("li",), ("ul", "ol", "menu", "dir")),
@@ -52,6 +62,15 @@ _WORDS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+def _furniture(names: str) -> bool:
+    """Whether a class name or id says so: all its words are marks or neutral, one at least is a mark."""
+    for name in names.lower().split():
+        words = _WORDS.findall(name)
+        if any(w in _MARKS for w in words) and all(w in _MARKS or w in _NEUTRAL for w in words):
+            return True
+    return False
+
+
 class Node:
     __slots__ = ("tag", "mark", "dropped", "children")
 
@@ -59,9 +78,8 @@ class Node:
         given = {k: (v or "") for k, v in attrs}
         self.tag, self.children = tag, []
         self.mark = f"{tag} {given.get('class', '')} {given.get('id', '')}"
-        names = set(_WORDS.findall(f"{given.get('class', '')} {given.get('id', '')}".lower()))
         self.dropped = (
-            tag in _DROPPED or bool(names & _MARKS) or given.get("role", "").lower() in _ROLES
+            tag in _DROPPED or _furniture(f"{given.get('class', '')} {given.get('id', '')}") or given.get("role", "").lower() in _ROLES
             or "hidden" in given or given.get("aria-hidden") == "true" or bool(_HIDDEN.search(given.get("style", "").lower()))
         ) and tag not in ("html", "body")
 
@@ -113,6 +131,7 @@ def parse(html: str | None) -> Node:
     builder = _Builder()
     builder.feed(html or "")
     builder.close()
+    _spare(builder.root)
     return builder.root
 
 
@@ -124,41 +143,52 @@ def _walk(node: Node) -> Iterator[Node]:
         stack.extend(x for x in reversed(at.children) if isinstance(x, Node))
 
 
-def _container(root: Node) -> Node | None:
-    """The article with the longest text, or the main element; outside what is dropped."""
-    best, size = None, -1
+def _spare(root: Node) -> None:
+    """Take the mark from forms and marked blocks that hold an article, a main element or most of the page's words."""
+    order = list(_walk(root))
+    words: dict[int, int] = {}
+    holds: set[int] = set()
+    for node in reversed(order):
+        inside = [c for c in node.children if isinstance(c, Node)]
+        words[id(node)] = 0 if node.tag in _SILENT else sum(words[id(c)] for c in inside) + sum(
+            len(c.split()) for c in node.children if isinstance(c, str)
+        )
+        if any(id(c) in holds or c.tag in ("article", "main") for c in inside):
+            holds.add(id(node))
+    for node in order:
+        if node.dropped and node.tag in _SPARED and (id(node) in holds or 2 * words[id(node)] > words[id(root)]):
+            node.dropped = False
+
+
+def _holders(root: Node) -> Iterator[list[Node]]:
+    """Where the main text may be, best first: the outermost articles, the outermost main elements, the whole page."""
     for wanted in ("article", "main"):
-        stack = [root]
+        found, stack = [], [root]
         while stack:
             at = stack.pop()
             if at.dropped:
                 continue
             if at.tag == wanted:
-                n = len(_text(at, frozenset(), {}))
-                best, size = (at, n) if n > size else (best, size)
+                found.append(at)
                 continue
             stack.extend(x for x in reversed(at.children) if isinstance(x, Node))
-        if best is not None:
-            return best
-    return None
+        yield found
+    yield [root]
 
 
-def subtree_hashes(root: Node, skip: Node | None) -> dict[int, int]:
-    """Hash of every element subtree with text, by the node's identity; ``skip`` (the article) and what holds it have none."""
-    order = list(_walk(root))
-    found, without, inside = {}, set(), set()
-    if skip is not None:
-        inside = {id(x) for x in _walk(skip)}
-        without.add(id(skip))
-    for node in reversed(order):  # children before parents
-        if id(node) in inside:
-            continue
+def subtree_hashes(root: Node) -> dict[int, int]:
+    """Hash of every element subtree with text, by the node's identity; articles and what holds one have none."""
+    found, without = {}, set()
+    for node in reversed(list(_walk(root))):  # children before parents
         parts, text = [node.mark], False
+        if node.tag in ("article", "main", "body"):
+            without.add(id(node))
         for child in node.children:
             if isinstance(child, str):
                 words = " ".join(child.split())
-                parts.append(words)
-                text = text or bool(words)
+                if words:
+                    parts.append(words)
+                    text = True
             elif id(child) in without:
                 without.add(id(node))
             elif id(child) in found:
@@ -200,10 +230,12 @@ def _text(node: Node, templates: frozenset, hashes: dict[int, int]) -> str:
 
 def main_text(html: str | None, templates=frozenset()) -> str:
     root = parse(html)
-    container = _container(root)
-    if container is not None:
-        return _text(container, frozenset(), {})
-    return _text(root, templates, subtree_hashes(root, None) if templates else {})
+    hashes = subtree_hashes(root) if templates else {}
+    for holders in _holders(root):
+        texts = [_text(node, templates, hashes) for node in holders]
+        if any(texts):
+            return " ".join(filter(None, texts))
+    return ""
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +245,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, html in zip(part.column(0).to_pylist(), part.column(1)):
             html = html.as_py() or ""
             root = parse(html)
-            own = {0, *subtree_hashes(root, _container(root)).values()}
+            own = {0, *subtree_hashes(root).values()}
             hosts.extend([host] * len(own))
             pages.extend([xxhash.xxh64_intdigest(html.encode("utf-8", "replace")) - (1 << 63)] * len(own))
             trees.extend(own)
@@ -240,9 +272,10 @@ def extract(
 ) -> DataFrame:
     """``(page, url, text, n_chars)`` per row of ``pages``: the article's blocks joined by one space, "" if there is none.
 
-    A page's article is its longest ``article`` element, else ``main``, without elements marked as furniture. Pages that
-    mark none are reduced by what they mark as furniture and by the templates of their host. Nothing is cut off; null
-    html is empty; null urls share one host; repeated pages and ids are kept.
+    Templates of the page's host and elements marked as furniture go first, inside articles too; then the text is that of all
+    ``article`` elements in page order, of the ``main`` elements where they leave none, else of the whole page. Nothing is
+    cut off; null html is empty; null urls share one host; repeated pages and ids are kept, and copies of a page
+    count once, so they make no template.
     """
     site = templates(pages, share, min_pages, url, html)
     named = pages.select(
