@@ -21,7 +21,8 @@ FILTERS = 16
 SAMPLE_PER_LANGUAGE = 1500  # training windows, one a document: the bound of what the driver gathers per language
 UNKNOWN = "und"
 _BATCH = 64
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
+_TOGETHER = 4096  # windows of several texts that meet the network in one go
 
 
 @dataclass
@@ -116,7 +117,8 @@ def held_out(key: str = "doc_id") -> Column:
 def fit(
     docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, key: str = "doc_id", text: str = "text", lang: str = "lang"
 ) -> ByteNet | None:
-    """Train on one window each of about ``per_language`` documents per language, drawn by a hash; None if there are none.
+    """Train on one window each of about ``per_language`` documents per language, drawn by a hash of id and text; None if there are
+    none. A row that is repeated is learned from once.
 
     Rows that ``held_out`` names, null ids, null or letterless texts and null labels are not learned from. The driver gathers
     ``per_language`` windows for each language, however large the table. The counts that are broadcast have one row per
@@ -126,15 +128,41 @@ def fit(
         F.col("key").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out("key")
     )
     counts = usable.groupBy("lang").agg(F.count("*").alias("of"))
-    draw = F.pmod(F.xxhash64("key", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
-    at = F.pmod(F.xxhash64("key", F.lit("place")), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1).cast("int")
+    draw = F.pmod(F.xxhash64("key", "text", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
+    at = F.pmod(F.xxhash64("key", "text", F.lit("place")), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1).cast("int")
     piece = F.substring("text", at + 1, F.lit(WINDOW)).alias("piece")
     some = usable.select("lang", "key", piece, draw.alias("draw")).join(F.broadcast(counts), "lang")
-    some = some.where(F.col("draw") < F.lit(float(per_language)) / F.col("of")).select("key", "piece", "lang")
+    some = some.where(F.col("draw") < F.lit(float(per_language)) / F.col("of")).select("key", "piece", "lang").distinct()
     rows = sorted(some.collect(), key=lambda r: (r.key, r.piece, r.lang))
     return train([r.piece for r in rows], [r.lang for r in rows]) if rows else None
 
 
+def has_letter(text: str) -> bool:
+    r"""Whether a text has a character of ``\p{L}``; numbers such as ``½`` are none."""
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text))
+
+
+def scores(net: ByteNet, texts: list[bytes]) -> np.ndarray:
+    """Mean softmax of each text over its windows, weighted by their lengths; the windows of all texts are put together."""
+    sums, held, count = np.zeros((len(texts), len(net.languages))), [], 0
+
+    def flush():
+        x, size, owner = (np.concatenate(part) for part in zip(*held))
+        for at in range(0, len(x), _TOGETHER):
+            some = slice(at, at + _TOGETHER)
+            np.add.at(sums, owner[some], size[some, None] * net.probabilities(x[some]).astype(np.float64))
+        held.clear()
+
+    for i, data in enumerate(texts):
+        x, size = windows(data)
+        held.append((x, size, np.full(len(x), i)))
+        count += len(x)
+        if count >= _TOGETHER or i == len(texts) - 1:
+            flush()
+            count = 0
+    return sums / np.maximum([[len(t)] for t in texts], 1)
+
+
 def predictor(net: ByteNet | None):
     """Pandas function: text -> (lang_pred, score)."""
 
@@ -142,14 +170,13 @@ def predictor(net: ByteNet | None):
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             names = np.full(len(texts), UNKNOWN, object)
-            scores = np.zeros(len(texts))
-            for i, text in enumerate(texts):
-                if net is None or text is None or not _LETTER.search(text):
-                    continue
-                x, size = windows(text.encode("utf-8", "replace"))
-                mean = size @ net.probabilities(x) / size.sum()
-                names[i], scores[i] = net.languages[mean.argmax()], min(1.0, float(mean.max()))
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            best = np.zeros(len(texts))
+            known = [i for i, t in enumerate(texts) if net is not None and t is not None and has_letter(t)]
+            if known:
+                mean = scores(net, [texts.iloc[i].encode("utf-8", "replace") for i in known])
+                names[known] = np.array(net.languages, object)[mean.argmax(axis=1)]
+                best[known] = np.minimum(1.0, mean.max(axis=1))
+            yield pd.DataFrame({"lang_pred": names, "score": best})
 
     return predict
 
