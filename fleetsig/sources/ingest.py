@@ -44,7 +44,7 @@ def import_files(spark: SparkSession, paths: Sequence[str], registry: DataFrame,
 
     Each of the three sections is parsed once and kept as a staged table while the import lasts. Where files
     of one instrument disagree on metadata, the file later in name order wins. A file that cannot be read fails the import;
-    a malformed element costs only what is broken in it, which is counted, as are values that do not convert.
+    a malformed value or enumeration costs only itself and is counted, as are values that do not convert.
     """
     paths = list(paths)
     with lake.staging() as stage:
@@ -65,15 +65,15 @@ def import_files(spark: SparkSession, paths: Sequence[str], registry: DataFrame,
         described = stage(xml_export.read_parameters(spark, paths)).join(owner, FILE)
         _store_parameters(lake, described, now)
 
-        elements = stage(xml_export.read_value_data(spark, paths))
-        values = xml_export.explode_values(elements).unionByName(xml_export.salvaged_values(elements)).join(owner, FILE)
+        pieces = stage(xml_export.value_pieces(spark, paths))
+        values = xml_export.values_of_pieces(pieces).join(owner, FILE)
         typed = stage(xml_export.type_values(values, described.drop("instrument_id"), on=[FILE, "param_id"]))
         lake.append_events(xml_export.accepted(typed))
         run = uuid.uuid4().hex
         unknown = xml_export.rejected(typed).withColumn("reason", F.lit("unknown parameter"))
         lost = unknown.unionByName(xml_export.unconverted(typed))
         counts = lost.groupBy(FILE, "param_id", "reason").agg(F.count("*").alias("rejected"))
-        broken = _malformed(stage, enumerations, elements, xml_export.salvaged_values(elements))
+        broken = _malformed(stage, enumerations, pieces)
         named = broken.select(FILE, F.lit(None).cast("int").alias("param_id"), F.lit("malformed").alias("reason"), F.col("malformed").alias("rejected"))
         rejects = stage(counts.unionByName(named))
         lake.append("rejects", rejects.withColumn("import_id", F.lit(run)).select(*_names(REJECTS)))
@@ -91,15 +91,10 @@ def _names(ddl: str) -> list[str]:
     return [c.split()[0] for c in ddl.split(",")]
 
 
-def _malformed(stage, enumerations: DataFrame, elements: DataFrame, saved: DataFrame) -> DataFrame:
-    """Per file: malformed metadata elements, and values lost in malformed ValueData elements (one at least for each)."""
-    bad = xml_export.malformed_counts(elements)
-    kept = saved.groupBy(FILE).agg(F.count("*").alias("saved"))
-    lost = bad.join(kept, FILE, "left").select(
-        FILE, F.greatest(F.col("values") - F.coalesce("saved", F.lit(0)), F.col("elements") * 0 + 1).alias("malformed")
-    )
-    meta = xml_export.malformed_counts(enumerations).select(FILE, F.col("elements").alias("malformed"))
-    return stage(lost.unionByName(meta).groupBy(FILE).agg(F.sum("malformed").cast("long").alias("malformed")))
+def _malformed(stage, enumerations: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Per file: malformed enumerations and values."""
+    both = xml_export.lost_values(pieces).unionByName(xml_export.malformed_counts(enumerations))
+    return stage(both.groupBy(FILE).agg(F.sum("malformed").cast("long").alias("malformed")))
 
 
 def _store_instruments(lake: Lake, files: DataFrame) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetsig import schema
+from fleetsig.sources.pieces import quoted_records, read_pieces, written
 
 MODELS = ("tem", "sem")
 
@@ -26,9 +27,14 @@ def read_events_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema=schema.EVENTS, nullValue="", emptyValue="", mode="FAILFAST")
 
 
-def read_server_log(spark: SparkSession, path: str) -> DataFrame:
-    """Server log in CSV form with its declared columns; messages may span lines."""
-    return spark.read.csv(path, schema=schema.SERVER_LOG, multiLine=True, quote='"', escape='"')
+def read_server_log(spark: SparkSession, path: str, stage=written) -> DataFrame:
+    """Server log in CSV form with its declared columns; messages may span lines.
+
+    Many tasks read one file (see ``quoted_records``). ``stage`` writes the lines, which are used twice, to a table.
+    """
+    records = quoted_records(stage(read_pieces(spark, path, "\n")))
+    options = {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
+    return records.select(F.from_csv("record", schema.SERVER_LOG.toDDL(), options).alias("_r")).select("_r.*")
 
 
 def read_alarm_source(spark: SparkSession, url: str, table: str, since=None, time_column: str = "ErrorDtm", **options: str) -> DataFrame:

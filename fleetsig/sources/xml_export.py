@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from fleetsig import schema
 from fleetsig.functions.convert import numeric_value, text_value, utc_instant, value_type
+from fleetsig.sources.pieces import FILE, TEXT, carry_last, read_pieces
 
-FILE = "source_file"
 _ENUM_BLOCK = "_Name STRING, Value ARRAY<STRUCT<_Name: STRING, _ID: INT>>"
 
 
 MALFORMED = "_malformed"
 _ONE_VALUE = "_Timestamp STRING, Value STRING"
+_VALUE_END = "</ParameterValue>"
+_VALUE_BEGIN = r"<ParameterValue\b"
+# a value in its usual form, which needs no XML parser: nothing escaped, nothing but time and text
+_PLAIN = r'^\s*<ParameterValue\s+Timestamp="([^"&<\t\r\n]+)"\s*>\s*<Value>([^<&\r]+)</Value>\s*$'
 
 
 def _reader_options(row_tag: str) -> dict[str, str]:
@@ -122,25 +126,50 @@ def explode_values(value_data: DataFrame, keep: Sequence[str] = (FILE,)) -> Data
     ).select(*keep, "param_id", F.col("_v._Timestamp").alias("time_text"), F.col("_v.Value").alias("raw"))
 
 
-def salvaged_values(value_data: DataFrame, keep: Sequence[str] = (FILE,)) -> DataFrame:
-    """Values that are well formed inside malformed ValueData elements: param_id, time_text, raw."""
-    text = F.col(MALFORMED)
-    found = value_data.where(text.isNotNull()).select(
-        *keep,
-        F.regexp_extract(text, r'ParameterID="\s*(\d+)\s*"', 1).try_cast("int").alias("param_id"),
-        F.explode(F.regexp_extract_all(text, F.lit(r"(?s)<ParameterValue\b(?:(?!<ParameterValue\b).)*?</ParameterValue>"), 0)).alias("_text"),
+def value_pieces(spark: SparkSession, paths) -> DataFrame:
+    """Single values of exports, read by several tasks also where one parameter fills a file; to be written before use.
+
+    A piece is the text up to the next end of a value. It states the parameter (``_of``) only where an element of values begins
+    in it. ``_lost`` counts the values begun in it that are not well formed; whatever is broken outside of values costs none.
+    Ends of values are recognised as exports write them (without spaces), also inside CDATA.
+    """
+    text = F.col(TEXT)
+    opened = F.regexp_extract(
+        F.substring_index(text, "<ValueData", -1), r"""^\s[^>]*?\bParameterID\s*=\s*["']\s*(\d+)\s*["']""", 1
     )
+    last = F.concat(F.regexp_extract(text, f"(?s).*({_VALUE_BEGIN}.*)", 1), F.lit(_VALUE_END))
     options = {"ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": MALFORMED}
-    parsed = found.withColumn("_v", F.from_xml("_text", f"{_ONE_VALUE}, {MALFORMED} STRING", options))
-    whole = F.col(f"_v.{MALFORMED}").isNull() & F.col("_v._Timestamp").isNotNull() & F.col("param_id").isNotNull()
-    return parsed.where(whole).select(*keep, "param_id", F.col("_v._Timestamp").alias("time_text"), F.col("_v.Value").alias("raw"))
+    plain = text.rlike(_PLAIN)
+    simple = F.struct(
+        F.regexp_extract(text, _PLAIN, 1).alias("_Timestamp"), F.regexp_extract(text, _PLAIN, 2).alias("Value"),
+        F.lit(None).cast("string").alias(MALFORMED),
+    )
+    parsed = F.when(plain, simple).otherwise(F.from_xml(last, f"{_ONE_VALUE}, {MALFORMED} STRING", options))
+    begun = F.when(plain, 1).otherwise(F.regexp_count(text, F.lit(_VALUE_BEGIN)))
+    rows = read_pieces(spark, paths, _VALUE_END).withColumns({
+        "_of": F.when(text.contains("<ValueData"), F.struct(opened.try_cast("int").alias("param_id"))),
+        "_begun": begun,
+    }).where("_begun > 0 OR _of IS NOT NULL")
+    rows = rows.withColumn("_v", F.when(F.col("_begun") > 0, parsed))
+    whole = (F.col("_begun") > 0) & F.col(f"_v.{MALFORMED}").isNull()
+    return rows.withColumns({"_whole": whole, "_lost": F.col("_begun") - whole.cast("int")}).select(
+        FILE, "_block", "_at", "_of", "_whole", "_lost", F.col("_v._Timestamp").alias("time_text"), F.col("_v.Value").alias("raw")
+    )
+
+
+def values_of_pieces(pieces: DataFrame) -> DataFrame:
+    """The well-formed values with their parameter: source_file, param_id, time_text, raw."""
+    return carry_last(pieces, "_of").where("_whole").select(FILE, F.col("_of.param_id").alias("param_id"), "time_text", "raw")
+
+
+def lost_values(pieces: DataFrame) -> DataFrame:
+    """Values per file that are not well formed."""
+    return pieces.groupBy(FILE).agg(F.sum("_lost").alias("malformed")).where("malformed > 0")
 
 
-def malformed_counts(elements: DataFrame, keep: Sequence[str] = (FILE,)) -> DataFrame:
-    """Malformed elements per file, and in ``values`` how many single values their text begins."""
-    begun = F.size(F.split(F.col(MALFORMED), r"<ParameterValue\b")) - 1
-    bad = elements.where(F.col(MALFORMED).isNotNull())
-    return bad.groupBy(*keep).agg(F.count("*").alias("elements"), F.sum(begun).alias("values"))
+def malformed_counts(elements: DataFrame) -> DataFrame:
+    """Malformed elements per file."""
+    return elements.where(F.col(MALFORMED).isNotNull()).groupBy(FILE).agg(F.count("*").alias("malformed"))
 
 
 def type_values(values: DataFrame, parameters: DataFrame, on: Sequence[str] = ("instrument_id", "param_id")) -> DataFrame:
