@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
@@ -13,7 +14,9 @@ from fleetsig.plans import refresh, views
 from fleetsig.plans.catalogue_analytics import DATA_DAILY, IMAGES_DAILY, LOADS_DAILY
 from fleetsig.plans.driver_tables import events, fleet, read
 from fleetsig.plans.registry import register
+from fleetsig.session import checkpoint_dir
 from fleetsig.sources import lake, tabular, xml_export
+from fleetsig.sources.pieces import written
 
 # Exported text of an event: type by event type, with texts that do not convert.
 TYPES = {"view": "int", "click": "bool", "purchase": "float", "error": "str", "signup": "int"}
@@ -91,6 +94,59 @@ def _(spark, sf):
     return xml_export.accepted(_parsed(spark, sf))
 
 
+def _scratch(spark) -> str:
+    return f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+@register(
+    "io01_xml_files",
+    f"""{TYPED_SQL} SELECT time, instrument_id, param_id, value_num, value_text FROM typed
+    JOIN ({KNOWN_PARAMS}) USING (instrument_id, param_id) WHERE value_num IS NOT NULL OR value_text IS NOT NULL""",
+)
+def _(spark, sf):
+    # one export per instrument, each parameter one element with all its values
+    ex = exported(spark, sf)
+    stamp = F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    value = F.concat(
+        F.lit('<ParameterValue Timestamp="'), stamp, F.lit('"><Value>'), F.coalesce("raw", F.lit("")), F.lit("</Value></ParameterValue>")
+    )
+    lines = ex.select("instrument_id", "param_id", F.lit(1).alias("part"), "time", value.alias("line"))
+    elements = ex.select("instrument_id", "param_id").distinct()
+    begin = F.concat(F.lit('<ValueData ParameterID="'), "param_id", F.lit('"><ParameterValues>'))
+    for part, line in ((0, begin), (2, F.lit("</ParameterValues></ValueData>"))):
+        lines = lines.unionByName(elements.select("*", F.lit(part).alias("part"), line.alias("line")), allowMissingColumns=True)
+    folder = _scratch(spark)
+    ordered = lines.repartition("instrument_id").sortWithinPartitions("instrument_id", "param_id", "part", "time")
+    ordered.select("instrument_id", "line").write.partitionBy("instrument_id").text(folder)
+    values = xml_export.values_of_pieces(written(xml_export.value_pieces(spark, folder)))
+    owner = F.regexp_extract(xml_export.FILE, r"instrument_id=(\d+)", 1).cast("int")
+    return xml_export.accepted(xml_export.type_values(values.withColumn("instrument_id", owner), _known(ex)))
+
+
+@register(
+    "io16_server_log",
+    """SELECT time AS log_time, event_id AS session_line_num, event_id AS query_id, 'LOG' AS error_severity,
+      CASE event_type WHEN 'click' THEN 'plan:' || chr(10) || '{' || chr(10) || ' "k": ' || k || chr(10) || '}'
+        WHEN 'error' THEN 'said "no", twice' || chr(10) || chr(10) || 'line ' || k ELSE 'noise ' || k END AS message
+    FROM ev""",
+)
+def _(spark, sf):
+    ev, k = events(spark, sf), F.col("k").cast("string")
+    message = (
+        F.when(F.col("event_type") == "click", F.concat(F.lit('plan:\n{\n "k": '), k, F.lit("\n}")))
+        .when(F.col("event_type") == "error", F.concat(F.lit('said "no", twice\n\nline '), k))
+        .otherwise(F.concat(F.lit("noise "), k))
+    )
+    line = F.concat(
+        F.date_format("time", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(' UTC,"report",db,1,,s,'), "event_id", F.lit(',,,,,LOG,,"'),
+        F.replace(message, F.lit('"'), F.lit('""')), F.lit('",,,,,,,,,,client backend,,'), "event_id",
+    )
+    folder = _scratch(spark)
+    ev.select(line).write.text(folder)
+    log = tabular.read_server_log(spark, folder)
+    return log.select("log_time", "session_line_num", "query_id", "error_severity", "message")
+
+
 @register("io02_typed_values", f"{TYPED_SQL} SELECT event_id, value_num, value_text FROM typed WHERE value_num IS NOT NULL OR value_text IS NOT NULL")
 def _(spark, sf):
     ex = exported(spark, sf)
