@@ -8,10 +8,9 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from fleetsig import schema
-from fleetsig.operators import alarms
 from fleetsig.plans import incremental, refresh
 from fleetsig.session import build_session
-from fleetsig.sources import ingest, tabular
+from fleetsig.sources import alarm_store, ingest, servers, tabular
 from fleetsig.sources.lake import Lake, parse_day
 
 
@@ -39,7 +38,8 @@ def parser() -> argparse.ArgumentParser:
     clean.add_argument("-i", "--instrument", type=int, required=True)
     clean.add_argument("--date", type=parse_day, help="delete only events before DD-MM-YYYY")
     uec = sub.add_parser("import-alarms", help="import new error definitions and notifications")
-    uec.add_argument("--url", required=True, help="JDBC URL; {server} is replaced by the instrument's server")
+    uec.add_argument("--url", required=True, help="URL; {server} is replaced by the instrument's server")
+    uec.add_argument("--module", help="DB-API module on the executors whose connect takes the URL; JDBC if none is given")
     uec.add_argument("--user")
     uec.add_argument("--password")
     uec.add_argument("--definitions", default="qry.ErrorDefinitions")
@@ -47,30 +47,31 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-# Table and column names of the alarm store.
-ALARM_TABLES = {
-    "subsystem": "SubsystemID INT, IdentifyingName STRING",
-    "device_type": "DeviceTypeID INT, IdentifyingName STRING",
-    "device_instance": "DeviceInstanceID INT, DeviceTypeID INT, IdentifyingName STRING",
-    "error_code": "DeviceTypeID INT, ErrorCodeID INT, IdentifyingName STRING",
-    "error_definitions": ", ".join(f"{c} INT" for c in alarms.DEFINITION_COLUMNS),
-    "errors": "Time TIMESTAMP, InstrumentID INT, ErrorID INT, MessageText STRING",
-}
-
-
 def import_alarms(lake: Lake, source) -> None:
     """``source(server, table kind)`` gives the remote frames of one instrument's server."""
-    servers = {
-        r["id"]: r["server"]
-        for r in lake.read("instruments", schema.INSTRUMENTS).where("server IS NOT NULL").select("id", "server").collect()
-    }
-    if not servers:
-        return
-    notes = tabular.union_sources({i: source(s, "notifications") for i, s in servers.items()})
-    defs = tabular.union_sources({i: source(s, "definitions") for i, s in servers.items()}).drop("instrument_id")
-    stored = {n: lake.read(f"alarms/{n}", ddl) for n, ddl in ALARM_TABLES.items()}
-    after = alarms.import_incremental(stored, defs.dropDuplicates(["ErrorDefinitionID"]), notes)
-    lake.replace_all({f"alarms/{name}": df for name, df in after.items()})
+    alarm_store.import_alarms(
+        lake, lambda kind, servers: tabular.union_sources({s.instrument_id: source(s.server, kind) for s in servers})
+    )
+
+
+def remote_alarms(spark, args):
+    """The remote tables by a DB-API module on the executors, or by JDBC."""
+    tables = {"definitions": args.definitions, "notifications": args.notifications}
+    columns = {"definitions": schema.ALARM_DEFINITIONS.toDDL(), "notifications": schema.ALARM_NOTIFICATIONS.toDDL()}
+    marks = {"definitions": "ErrorDefinitionID", "notifications": "ErrorDtm"}
+    login = {k: v for k, v in (("user", args.user), ("password", args.password)) if v}
+
+    def by_module(kind, asked):
+        return servers.read_servers(spark, asked, tables[kind], columns[kind], args.module, args.url, marks[kind], **login)
+
+    def by_jdbc(kind, asked):
+        return tabular.union_sources({
+            s.instrument_id: tabular.read_alarm_source(
+                spark, args.url.format(server=s.server), tables[kind], s.since, marks[kind], **login
+            ) for s in asked
+        })
+
+    return by_module if args.module else by_jdbc
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -105,11 +106,7 @@ def main(argv: list[str] | None = None) -> None:
         else:
             lake.delete_instrument(args.instrument)
     elif args.command == "import-alarms":
-        tables = {"definitions": args.definitions, "notifications": args.notifications}
-        login = {k: v for k, v in (("user", args.user), ("password", args.password)) if v}
-        import_alarms(
-            lake, lambda server, kind: tabular.read_alarm_source(spark, args.url.format(server=server), tables[kind], **login)
-        )
+        alarm_store.import_alarms(lake, remote_alarms(spark, args))
 
 
 if __name__ == "__main__":

@@ -55,12 +55,21 @@ def new_errors(existing: DataFrame, definitions: DataFrame, notifications: DataF
     ``notifications`` carries ``instrument_id``, so one pass serves the whole fleet. A row at or before the
     stored time of its instrument is never taken.
     """
-    mark = existing.groupBy(F.col("InstrumentID").alias("instrument_id")).agg(F.max("Time").alias("_mark"))
+    return errors_after(marks_of(existing), definitions, notifications)
+
+
+def marks_of(errors: DataFrame) -> DataFrame:
+    """The latest stored time of every instrument: instrument_id, mark."""
+    return errors.groupBy(F.col("InstrumentID").alias("instrument_id")).agg(F.max("Time").alias("mark"))
+
+
+def errors_after(marks: DataFrame, definitions: DataFrame, notifications: DataFrame) -> DataFrame:
+    """Notifications of known definitions above their instrument's mark, one per key."""
     known = definitions.select("ErrorDefinitionID")
-    later = F.col("ErrorDtm") > F.coalesce("_mark", F.lit("1900-01-01").cast("timestamp"))
+    later = F.col("ErrorDtm") > F.coalesce("mark", F.lit("1900-01-01").cast("timestamp"))
     rows = (
         notifications.join(known, "ErrorDefinitionID", "left_semi")
-        .join(mark, "instrument_id", "left")
+        .join(marks, "instrument_id", "left")
         .where(later)
         .select(
             F.col("ErrorDtm").alias("Time"),

@@ -1,6 +1,6 @@
 """The stored tables: parquet directories, the events partitioned by UTC day.
 
-Small tables are replaced by writing a new version next to the old one. Rewritten days of the events go
+Alarm errors are partitioned by month. Small tables are replaced by writing a new version next to the old one. Rewritten days of the events go
 through a staged copy, which is then published by dynamic partition overwrite.
 """
 
@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType, TimestampType
 
 from fleetsig import schema
+from fleetsig.operators.alarms import marks_of
 from fleetsig.plans.views import Fleet
 from fleetsig.session import prepare
 
 ERRORS = "alarms/errors"
+_ERROR_MONTHS, _MARKS = "alarms/error_months", "alarms/marks"
+_ERROR_COLUMNS = "Time TIMESTAMP, InstrumentID INT, ErrorID INT, MessageText STRING"
 # parameter first: most questions ask for one signal of the whole fleet
 SORT = ["param_id", "instrument_id", "time"]
 CHANGES = "instrument_id INT, param_id INT, since TIMESTAMP"
@@ -73,6 +76,8 @@ class Lake:
 
     def read(self, name: str, struct=None) -> DataFrame:
         """A stored table, empty if it was never written."""
+        if name == ERRORS and self._has_parts(_ERROR_MONTHS):
+            return self.errors()
         versions = self._versions(name)
         if versions:
             return self.spark.read.parquet(f"{self.path(name)}/version={versions[-1]}")
@@ -186,8 +191,12 @@ class Lake:
             self._note_changes(noted)
 
     def _has_events(self) -> bool:
-        fs, where = self._fs(self.path("data"))
-        return bool(fs.exists(where)) and any(f.getPath().getName().startswith("day=") for f in fs.listStatus(where))
+        return self._has_parts("data")
+
+    def _has_parts(self, name: str) -> bool:
+        """Whether a partitioned table has rows."""
+        fs, where = self._fs(self.path(name))
+        return bool(fs.exists(where)) and any("=" in f.getPath().getName() for f in fs.listStatus(where))
 
     def delete_events(self, condition) -> None:
         """Remove matching events by rewriting the days that hold some."""
@@ -240,12 +249,66 @@ class Lake:
     def delete_before(self, instrument_id: int, before: date) -> None:
         """Remove an instrument's events and alarms older than a date."""
         self.delete_events((F.col("instrument_id") == instrument_id) & (F.col("time") < F.lit(str(before)).cast("timestamp")))
-        errors = self._errors()
-        if errors is not None:
-            self.replace(ERRORS, delete_before(errors, instrument_id, str(before), "Time", "InstrumentID"))
+        self.delete_errors((F.col("InstrumentID") == instrument_id) & (F.col("Time") < F.lit(str(before)).cast("timestamp")), instrument_id)
+
+    # errors, which grow by month; and how far each instrument's have been read
+
+    def errors(self) -> DataFrame:
+        """Stored errors, whichever month they are of."""
+        return self._error_months().drop("month")
 
-    def _errors(self) -> DataFrame | None:
-        return self.read(ERRORS) if self._versions(ERRORS) else None
+    def _error_months(self, months: Sequence[date] | None = None) -> DataFrame:
+        if self._has_parts(_ERROR_MONTHS):
+            df = self.spark.read.schema(f"{_ERROR_COLUMNS}, month DATE").parquet(self.path(_ERROR_MONTHS))
+        else:
+            # a store that still keeps them as one table, or none
+            whole = self.read(ERRORS) if self._versions(ERRORS) else self.spark.createDataFrame([], _ERROR_COLUMNS)
+            df = whole.withColumn("month", _month("Time"))
+        return df if months is None else df.where(F.col("month").isin(*months))
+
+    def append_errors(self, rows: DataFrame, unseen) -> None:
+        """Add the rows that ``unseen(stored, rows)`` leaves, comparing only with the months they fall on."""
+        if not self._has_parts(_ERROR_MONTHS) and self._versions(ERRORS):
+            self._write_errors(self._error_months(), "append")
+        dated = rows.withColumn("month", _month("Time"))
+        months = _days(dated, "month")
+        if not months:
+            return
+        with self.staging() as stage:
+            self._write_errors(stage(unseen(self._error_months(months), dated)), "append")
+
+    def delete_errors(self, condition, instrument_id: int) -> None:
+        """Remove an instrument's matching errors by rewriting the months that hold some; its mark follows what is left."""
+        months = _days(self._error_months().where(condition), "month")
+        if not months:
+            return
+        if not self._has_parts(_ERROR_MONTHS):
+            self._write_errors(self._error_months(), "append")
+        with self.staging() as stage:
+            survivors = stage(self._error_months(months).where(~F.coalesce(condition, F.lit(False))))
+            left = set(_days(survivors, "month"))
+            if left:
+                self._write_errors(survivors, "overwrite")
+            for month in months:
+                if month not in left:
+                    self._remove(f"{self.path(_ERROR_MONTHS)}/month={month}")
+            others = self.alarm_marks().where(F.col("instrument_id") != instrument_id)
+            own = marks_of(self.errors().where(F.col("InstrumentID") == instrument_id))
+            self.replace(_MARKS, others.unionByName(own))
+
+    def alarm_marks(self) -> DataFrame:
+        """Up to where each instrument's errors are stored: instrument_id, mark."""
+        if self._versions(_MARKS):
+            return self.read(_MARKS)
+        return marks_of(self.errors())
+
+    def move_marks(self, moved: DataFrame) -> None:
+        both = self.alarm_marks().unionByName(moved)
+        self.replace(_MARKS, both.groupBy("instrument_id").agg(F.max("mark").alias("mark")))
+
+    def _write_errors(self, rows: DataFrame, mode: str) -> None:
+        ordered = rows.hint("rebalance", "month").sortWithinPartitions("month", "InstrumentID", "Time")
+        ordered.write.mode(mode).partitionBy("month").parquet(self.path(_ERROR_MONTHS))
 
     def delete_instrument(self, instrument_id: int) -> None:
         small = {
@@ -255,7 +318,6 @@ class Lake:
                 ("enum_types", schema.ENUM_TYPES), ("enum_values", schema.ENUM_VALUES),
             )
         }
-        errors = self._errors()
         stamped = [*schema.PARAMETERS.fields, StructField("inserted", TimestampType())]
         logs = {
             "parameters_history": self.log("parameters_history", StructType(stamped)),
@@ -263,7 +325,7 @@ class Lake:
                 "enum_values_history", StructType([*schema.ENUM_VALUES.fields, StructField("inserted", TimestampType())])
             ),
         }
-        left = delete_instrument((small if errors is None else small | {ERRORS: errors}) | logs, instrument_id)
+        left = delete_instrument(small | logs, instrument_id)
         # its files may come again once the instrument is registered anew
         files = self.log("imported_files", "path STRING, modificationTime TIMESTAMP")
         owners = self.log("import_counts", "source_file STRING, instrument_id INT").where(F.col("instrument_id") == instrument_id)
@@ -271,6 +333,7 @@ class Lake:
         for name in (*logs, "imported_files"):
             self._rewrite_log(name, left.pop(name))
         self.replace_all(left)
+        self.delete_errors(F.col("InstrumentID") == instrument_id, instrument_id)
         self.delete_events(F.col("instrument_id") == instrument_id)
 
     def _rewrite_log(self, name: str, rows: DataFrame) -> None:
@@ -355,9 +418,14 @@ def _earliest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("instrument_id", "param_id").agg(F.min("time").alias("since"))
 
 
-def _days(rows: DataFrame) -> list[date]:
-    """Distinct days of the rows; their number is bounded by the calendar."""
-    return [r[0] for r in rows.select("day").distinct().where("day IS NOT NULL").collect()]
+def _days(rows: DataFrame, column: str = "day") -> list[date]:
+    """Distinct days of the rows (or months); their number is bounded by the calendar."""
+    return [r[0] for r in rows.select(column).distinct().where(F.col(column).isNotNull()).collect()]
+
+
+def _month(ts: str):
+    # errors are far fewer than events: a folder per day would hold next to nothing
+    return F.trunc(ts, "month")
 
 
 def parse_day(text: str) -> date:

@@ -38,9 +38,11 @@ def read_server_log(spark: SparkSession, path: str, stage=written) -> DataFrame:
 
 
 def read_alarm_source(spark: SparkSession, url: str, table: str, since=None, time_column: str = "ErrorDtm", **options: str) -> DataFrame:
-    """A table of a remote relational database; the lower time bound is pushed to it."""
+    """A table of a remote relational database; the lower bound (an instant in UTC as text, or an id) is pushed to it."""
     df = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-    return df if since is None else df.where(F.col(time_column) > F.lit(since).cast("timestamp"))
+    if since is None:
+        return df
+    return df.where(F.col(time_column) > (F.lit(since).cast("timestamp") if isinstance(since, str) else F.lit(since)))
 
 
 def typed_property_events(properties: DataFrame, stored: DataFrame) -> DataFrame:
