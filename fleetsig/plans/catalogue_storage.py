@@ -123,6 +123,49 @@ def _(spark, sf):
     return xml_export.accepted(xml_export.type_values(values.withColumn("instrument_id", owner), _known(ex)))
 
 
+@register(
+    "io07_registry",
+    "SELECT instrument, CAST(serial AS INTEGER) AS serial, model, name, 'tem' AS type, template, server FROM instruments",
+)
+def _(spark, sf):
+    # the registry is one JSON list over several lines; its rows are those of the instruments
+    listed = fleet(spark, sf).instruments.select(
+        "instrument", "serial", "model", "name", F.lit("tem").alias("type"), "template", "server"
+    )
+    folder = _scratch(spark)
+    whole = listed.agg(F.to_json(F.collect_list(F.struct(*listed.columns)), {"pretty": "true"}))
+    whole.coalesce(1).write.text(folder)
+    return tabular.read_registry(spark, folder)
+
+
+@register(
+    "io09_csv_events",
+    """SELECT time, instrument_id, CAST(k AS INTEGER) AS param_id, CASE WHEN event_type <> 'error' THEN value END AS value_num,
+      CASE WHEN event_type = 'error' THEN 'a "b", c' || k END AS value_text FROM ev""",
+)
+def _(spark, sf):
+    error = F.col("event_type") == "error"
+    ev = events(spark, sf).select(
+        "time", "instrument_id", F.col("k").alias("param_id"), F.when(~error, F.col("value")).alias("value_num"),
+        F.when(error, F.concat(F.lit('a "b", c'), "k")).alias("value_text"),
+    )
+    folder = _scratch(spark)
+    ev.write.csv(folder, timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSSXXX")
+    return tabular.read_events_csv(spark, folder)
+
+
+@register(
+    "io17_csv_export",
+    """SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, CAST(k AS VARCHAR) AS k, 'x "' || event_type || '", ' || k AS note FROM ev""",
+)
+def _(spark, sf):
+    # the exported file read as plain text columns under its header
+    note = F.concat(F.lit('x "'), "event_type", F.lit('", '), F.col("k").cast("string"))
+    folder = _scratch(spark)
+    tabular.export_csv(events(spark, sf).select("event_id", "event_type", "k", note.alias("note")), folder)
+    return spark.read.csv(folder, header=True)
+
+
 @register(
     "io16_server_log",
     """SELECT time AS log_time, event_id AS session_line_num, event_id AS query_id, 'LOG' AS error_severity,

@@ -147,18 +147,19 @@ def poll(
     poll. With ``settle_seconds`` a file waits until its size and time have not changed for so long.
     """
     imported: list[str] = []
-    tried: list = []
-    settled = _settled(spark, directory, settle_seconds)
-    while True:
-        done = lake.log("imported_files", FILE_LOG)
-        waiting = settled.join(done, ["path", "modificationTime"], "left_anti")
-        if tried:
-            waiting = waiting.join(spark.createDataFrame(tried, FILE_LOG), ["path", "modificationTime"], "left_anti")
-        group = waiting.orderBy("modificationTime", "path").limit(files_per_batch).select(*_names(FILE_LOG)).collect()
-        if not group:
-            return imported
-        imported += _import_group(spark, group, registry, lake)
-        tried += [tuple(r) for r in group]
+    begun = datetime.now(timezone.utc)
+    with lake.staging() as stage:
+        settled = _settled(spark, directory, settle_seconds, stage)
+        while True:
+            file = ["path", "modificationTime"]
+            done = lake.log("imported_files", FILE_LOG)
+            # whatever became of them, files this poll has taken are not taken again
+            tried = lake.log("import_outcomes", OUTCOMES).where(F.col("at") >= F.lit(begun))
+            waiting = settled.join(done, file, "left_anti").join(tried, file, "left_anti")
+            group = waiting.orderBy("modificationTime", "path").limit(files_per_batch).select(*file).collect()
+            if not group:
+                return imported
+            imported += _import_group(spark, group, registry, lake)
 
 
 def _listed(spark: SparkSession, directory: str) -> DataFrame:
@@ -166,14 +167,13 @@ def _listed(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("path", "modificationTime", "length")
 
 
-def _settled(spark: SparkSession, directory: str, seconds: float) -> DataFrame:
+def _settled(spark: SparkSession, directory: str, seconds: float, stage) -> DataFrame:
     """Files whose length and time are the same after ``seconds``; one that still grows is left for the next poll."""
+    first = stage(_listed(spark, directory))
     if not seconds:
-        return _listed(spark, directory)
-    before = {tuple(r) for r in _listed(spark, directory).collect()}
+        return first
     pause(seconds)
-    after = [tuple(r) for r in _listed(spark, directory).collect()]
-    return spark.createDataFrame([r for r in after if r in before], f"{FILE_LOG}, length BIGINT")
+    return stage(_listed(spark, directory).join(first, ["path", "modificationTime", "length"], "left_semi"))
 
 
 def _import_group(spark: SparkSession, group: list, registry: DataFrame, lake: Lake) -> list[str]:

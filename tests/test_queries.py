@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
 NAMES = [
     "an01_epu_sessions", "an06_tag_points", "an08_tomo_runs", "an12_tomo_running_daily", "an16_tomo_counters", "an26_state_seconds_per_day",
-    "dq02_occupancy_share", "dq11_enum_catalogue", "dq18_status_table", "dq22_family_pressure", "dq27_reducers", "io01_xml_events", "io01_xml_files", "io16_server_log",
+    "dq02_occupancy_share", "dq11_enum_catalogue", "dq18_status_table", "dq22_family_pressure", "dq27_reducers", "io07_registry", "io09_csv_events", "io17_csv_export", "io01_xml_events", "io01_xml_files", "io16_server_log",
     "io13_typed_properties", "im02_windowed_refresh", "md01_instrument_get_or_create", "md06_parameter_history",
     "ue04_incremental_errors", "cs02_runtime_percentiles_exact", "cs06_cache_hits", "cs11_plan_log", "al04_repeat_interval",
 ]
