@@ -14,9 +14,6 @@ such hash is a strand of text. Three passes over documents in blocks, all from o
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -31,29 +28,28 @@ _PIECE = 24
 _STRAND = 32  # windows of a strand at most, one bit each
 _NO_ID = -(1 << 63)
 _rng = np.random.default_rng(11)
-_BYTE = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = _rng.integers(0, 1 << 63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
-_MOST = 1 << 22
+_ODD = _rng.integers(0, 1 << 63, 40, np.uint64) * np.uint64(2) + np.uint64(1)
+_MOST = 1 << 15  # windows at a time, so that their arrays stay in the processor's cache
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position of a text on."""
+    return np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
 
 
 def _piece_hashes(data: np.ndarray) -> np.ndarray:
-    """48-bit hash of every K-byte piece, by doubling."""
-    h, size, by_size = _BYTE[data], 1, {}
-    level = 0
-    while size <= _PIECE:
-        by_size[size] = h
-        if 2 * size > _PIECE:
-            break
-        h = h[: len(h) - size] * _STEP[level] + h[size:]
-        size, level = 2 * size, level + 1
-    h, done = by_size[size], size
-    while done < _PIECE:
-        part = max(s for s in by_size if s <= _PIECE - done)
-        n = len(data) - done - part + 1
-        h = h[:n] * _STEP[level + 1] + by_size[part][done : done + n]
-        done += part
-    h = (h ^ (h >> np.uint64(29))) * _STEP[7]
-    return (h ^ (h >> np.uint64(32))) >> np.uint64(16)
+    """48-bit hash of every K-byte piece, from the eight-byte words it consists of."""
+    w = _words(data) * _ODD[0]
+    w ^= w >> np.uint64(32)
+    n = len(data) - _PIECE + 1
+    h = w[:n] * _ODD[1]
+    for i in range(8, _PIECE, 8):
+        h += w[i : i + n] * _ODD[1 + i // 8]
+    h ^= h >> np.uint64(29)
+    h *= _ODD[7]
+    h ^= h >> np.uint64(32)
+    h >>= np.uint64(16)
+    return h
 
 
 def _smallest(h: np.ndarray, span: int) -> np.ndarray:
@@ -65,24 +61,109 @@ def _smallest(h: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (span - size)], h[span - size :]) if span > size else h
 
 
-def strands(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first window, number of windows) of each strand of a text."""
-    if len(data) < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hashes, starts = [], []
-    n = len(data) - length + 1
+def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts one after the other, and their edges."""
+    edges = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) for t in texts], dtype=np.int64, out=edges[1:])
+    return np.concatenate([np.zeros(0, np.uint8), *texts]), edges
+
+
+def strands(flat: np.ndarray, edges: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, first window, number of windows) of each strand of joined texts; windows count through all of them."""
+    n = len(flat) - length + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # a text's windows begin at its first byte and stop before those that would reach over its end
+    borders = np.unique(np.minimum(np.r_[edges[:-1], np.maximum(edges[1:] - length + 1, edges[:-1])], n))
+    hashes, starts, last = [], [], None
     for at in range(0, n, _MOST):
         upto = min(n, at + _MOST)
-        low = _smallest(_piece_hashes(data[at : upto + length - 1]), length - _PIECE + 1)
-        new = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-        size = np.diff(np.r_[new, len(low)])
-        cuts = -(-size // _STRAND)
-        place = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-        first = np.repeat(new, cuts) + place * _STRAND
-        hashes.append(low[first])
-        starts.append(at + first)
-    start = np.concatenate(starts)
-    return np.concatenate(hashes), start, np.diff(np.r_[start, n])
+        low = _smallest(_piece_hashes(flat[at : upto + length - 1]), length - _PIECE + 1)
+        new = np.empty(len(low), bool)
+        new[0] = low[0] != last
+        np.not_equal(low[1:], low[:-1], out=new[1:])
+        a, b = np.searchsorted(borders, [at, upto])
+        new[borders[a:b] - at] = True
+        place = np.flatnonzero(new)
+        hashes.append(low[place])
+        starts.append(at + place)
+        last = low[-1]
+    low, new = np.concatenate(hashes), np.concatenate(starts)
+    size = np.diff(new, append=n)
+    which = np.searchsorted(edges, new, side="right") - 1
+    inside = new + length <= edges[which + 1]
+    low, new, size, which = low[inside], new[inside], size[inside], which[inside]
+    cuts = -(-size // _STRAND)
+    part = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    first = np.repeat(new, cuts) + part * _STRAND
+    return np.repeat(which, cuts), np.repeat(low, cuts), first, np.minimum(np.repeat(size, cuts) - part * _STRAND, _STRAND)
+
+
+def _word_at(words: np.ndarray, start: np.ndarray, size: np.ndarray, at: int) -> np.ndarray:
+    """Eight bytes of each strand from ``at`` on, or its last eight."""
+    return words[start + np.minimum(at, size - 8)]
+
+
+def _prints(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit fingerprint of each strand's text; its last word counts again until the longest strand ends."""
+    words, out, most = _words(flat), np.empty(len(start), np.uint64), int(size.max())
+    for a in range(0, len(start), _MOST):
+        s, n = start[a : a + _MOST], size[a : a + _MOST]
+        h = n.astype(np.uint64)
+        for i, at in enumerate(range(0, most, 8)):
+            w = _word_at(words, s, n, at)
+            w ^= w >> np.uint64(32)
+            h += w * _ODD[8 + i]
+        h ^= h >> np.uint64(32)
+        out[a : a + _MOST] = h * _ODD[7]
+    return out
+
+
+def _alike(flat: np.ndarray, start: np.ndarray, size: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strands in the order of (hash, fingerprint), and where in it the text differs from the one before.
+
+    Equal texts are neighbours, as texts are compared byte by byte and those with one fingerprint are ordered by themselves.
+    """
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    prints = _prints(flat, start, size)
+    key = (hashes << np.uint64(16)) | (prints >> np.uint64(48))
+    order = np.argsort(key)
+    key, prints = key[order], prints[order]
+    new = np.r_[True, key[1:] != key[:-1]]
+
+    def resort(torn: np.ndarray, by) -> None:
+        """Runs that hold a torn place are sorted again."""
+        run = np.cumsum(new) - 1
+        rows = np.flatnonzero(np.isin(run, run[torn]))
+        order[rows] = order[rows][by(rows, run[rows])]
+
+    torn = np.flatnonzero(~new[1:] & (prints[1:] != prints[:-1])) + 1
+    if len(torn):
+        resort(torn, lambda rows, run: np.lexsort((prints[rows], run)))
+        prints = _prints(flat, start[order], size[order])
+        new[1:] |= prints[1:] != prints[:-1]
+    torn = _differ(flat, start, size, order, np.flatnonzero(~new))
+    if len(torn):
+        text = lambda i: flat[start[i] : start[i] + size[i]].tobytes()
+        resort(torn, lambda rows, run: sorted(range(len(rows)), key=lambda j: (run[j], text(order[rows[j]]))))
+        new[_differ(flat, start, size, order, np.flatnonzero(~new))] = True
+    return order, new
+
+
+def _differ(flat: np.ndarray, start: np.ndarray, size: np.ndarray, order: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which of the places of an order have another text than the place before."""
+    words, found = _words(flat), []
+    for a in range(0, len(places), _MOST):
+        spot = places[a : a + _MOST]
+        one, two = order[spot - 1], order[spot]
+        n = size[two]
+        other = size[one] != n
+        n = np.minimum(size[one], n)
+        for at in range(0, int(n.max()), 8):
+            other |= _word_at(words, start[one], n, at) != _word_at(words, start[two], n, at)
+        found.append(spot[other])
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -111,32 +192,23 @@ def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 
 
 def _deal(hashes: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
-    """Positions of each bucket, hashes ascending."""
-    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((hashes, bucket))
+    """Positions of each bucket; hashes are ascending and stay so."""
+    bucket = (hashes % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     return [(int(bucket[p[0]]), p) for p in np.split(order, cuts) if len(p)]
 
 
-def _rank(docs: np.ndarray) -> np.ndarray:
-    return np.unique(docs, return_inverse=True)[1]
-
-
 def _seen(length: int, buckets: int):
     """Pass 1: the hashes of a block, each with whether several of its documents have it."""
 
     def run(docs: pa.Table) -> pa.Table:
         block, ids = docs.column("block")[0].as_py(), docs.column("doc").to_numpy()
-        own, who = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for doc, data in zip(_rank(ids), as_bytes(docs.column("text"))):
-            m = np.unique(strands(data, length)[0])
-            own.append(m)
-            who.append(np.full(len(m), doc))
-        m, who = np.concatenate(own), np.concatenate(who)
-        order = np.lexsort((who, m))
-        m, who = m[order], who[order]
+        which, m, _, _ = strands(*_joined(as_bytes(docs.column("text"))), length)
         if not len(m):
             return _blobs([])
+        order = np.argsort(m)
+        m, who = m[order], ids[which[order]]
         first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
         several = np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)
         m = m[first]
@@ -150,54 +222,47 @@ def _shared(blobs: pa.Table) -> pa.Table:
     bucket, blocks = blobs.column("bucket")[0].as_py(), blobs.column("block").to_pylist()
     parts = [_unpack(d, np.uint64, np.uint8) for d in blobs.column("data").to_pylist()]
     held = [np.cumsum(delta, dtype=np.uint64) for delta, _ in parts]
-    every = np.sort(np.concatenate(held))
-    twice = every[1:][every[1:] == every[:-1]]
-    rows = []
+    every = np.concatenate(held)
+    order = np.argsort(every)
+    same = every[order[1:]] == every[order[:-1]]
+    twice = np.zeros(len(every), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    rows, cut = [], 0
     for block, m, (_, several) in zip(blocks, held, parts):
-        m = m[(several > 0) | np.isin(m, twice)]
-        if len(m):
-            rows.append((bucket, block, _pack(np.diff(m, prepend=np.uint64(0)))))
+        cut, found = cut + len(m), m[(several > 0) | twice[cut : cut + len(m)]]
+        if len(found):
+            rows.append((bucket, block, _pack(np.diff(found, prepend=np.uint64(0)))))
     return _blobs(rows)
 
 
 class _Strands:
-    """The strands of a block under shared hashes: where they are, and the different ones in (hash, text) order."""
+    """The strands of a block under shared hashes: where they are, and the different ones in order of their hash.
+
+    That order depends on the strands only, not on how the block's documents arrive.
+    """
 
     def __init__(self, docs: pa.Table, shared: np.ndarray, length: int):
-        self.ids, self.texts = docs.column("doc").to_numpy(), as_bytes(docs.column("text"))
-        shared = np.sort(shared)
-        which, hashes, starts, counts = [], [], [], []
-        for i, data in enumerate(self.texts):
-            m, start, count = strands(data, length)
-            spot = np.searchsorted(shared, m)
-            spot[spot == len(shared)] = 0
-            hit = np.flatnonzero(shared[spot] == m) if len(shared) else np.zeros(0, np.int64)
-            which.append(np.full(len(hit), i))
-            hashes.append(m[hit])
-            starts.append(start[hit])
-            counts.append(count[hit])
-        self.which, self.start, self.count = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (which, starts, counts))
-        m = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        names: dict[tuple[int, bytes], int] = {}
-        flat = [t.tobytes() for t in self.texts]
-        where = np.empty(len(m), np.int64)
-        least: list[int] = []
-        for j, (i, h, a, n) in enumerate(zip(self.which.tolist(), m.tolist(), self.start.tolist(), self.count.tolist())):
-            at = names.setdefault((h, flat[i][a : a + n + length - 1]), len(names))
-            where[j] = at
-            doc = int(self.ids[i])
-            if at == len(least):
-                least.append(doc)
-            elif doc < least[at]:
-                least[at] = doc
-        keys = list(names)
-        order = sorted(range(len(keys)), key=keys.__getitem__)
-        place = np.empty(len(keys), np.int64)
-        place[order] = np.arange(len(keys))
-        self.at = place[where] if len(where) else where
-        self.hash = np.array([keys[i][0] for i in order], np.uint64)
-        self.text = [keys[i][1] for i in order]
-        self.least = np.array([least[i] for i in order], np.int64)
+        self.ids = docs.column("doc").to_numpy()
+        self.flat, self.edges = _joined(as_bytes(docs.column("text")))
+        which, m, start, count = strands(self.flat, self.edges, length)
+        order = np.argsort(m)  # sorted questions find their place faster
+        shared = np.append(np.sort(shared), np.uint64(1 << 63))
+        hit = np.zeros(len(m), bool)
+        hit[order] = shared[np.searchsorted(shared, m[order])] == m[order]
+        self.which, self.start, self.count, m = which[hit], start[hit], count[hit], m[hit]
+        order, new = _alike(self.flat, self.start, self.count + length - 1, m)
+        self.at = np.empty(len(m), np.int64)
+        self.at[order] = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        one = order[first]
+        self.hash, self.begin, self.size = m[one], self.start[one], self.count[one] + length - 1
+        self.least = np.minimum.reduceat(self.ids[self.which[order]], first) if len(first) else np.zeros(0, np.int64)
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All positions of runs, one run after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def _of_block(replies: pa.Table, kind: int) -> list[tuple[int, bytes]]:
@@ -219,46 +284,36 @@ def _send(length: int, buckets: int):
             return _blobs([])
         block, own = docs.column("block")[0].as_py(), _Strands(docs, _hashes(replies), length)
         rows = []
-        for bucket, p in _deal(own.hash, buckets) if len(own.hash) else []:
-            sizes = np.array([len(own.text[i]) for i in p], np.uint8)
-            head = _pack(np.diff(own.hash[p], prepend=np.uint64(0)), own.least[p], sizes)
-            body = zstandard.ZstdCompressor(level=1).compress(b"".join(own.text[i] for i in p))
+        for bucket, p in _deal(own.hash, buckets):
+            head = _pack(np.diff(own.hash[p], prepend=np.uint64(0)), own.least[p], own.size[p].astype(np.uint8))
+            body = zstandard.ZstdCompressor(level=1).compress(own.flat[_spread(own.begin[p], own.size[p])].tobytes())
             rows.append((bucket, block, len(head).to_bytes(4, "big") + head + body))
         return _blobs(rows)
 
     return run
 
 
-def _previous(texts: list[bytes], least: np.ndarray, length: int) -> np.ndarray:
+def _previous(flat: np.ndarray, start: np.ndarray, counts: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
     """Bits of the windows of each strand that have an equal window in a strand of a smaller id.
 
-    The windows stand in suffix order, ties by id: a window's previous smaller position with a common prefix of ``length`` is
-    the first of its run, if that has a smaller id.
+    The windows are put into suffix order eight bytes at a time, where only those still equal to a neighbour are sorted on. A
+    window's previous smaller position with a common prefix of ``length`` is the one of the smallest id in its run, if that is
+    smaller than its own.
     """
-    counts = np.array([len(t) - length + 1 for t in texts])
-    flat = np.frombuffer(b"".join(texts), np.uint8)
-    begin = np.repeat(np.cumsum([0, *map(len, texts[:-1])]) - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    owner = np.repeat(np.arange(len(texts)), counts)
-    order, words = np.argsort(least[owner], kind="stable"), []
+    begin, owner, words = _spread(start, counts), np.repeat(np.arange(len(start)), counts), _words(flat)
+    order, new = np.arange(len(begin)), np.arange(len(begin)) == 0
     for a in range(0, length, 8):
-        size = min(8, length - a)
-        word = np.zeros(len(begin), np.uint64)
-        for j in range(size):
-            word = (word << np.uint64(8)) | flat[begin + a + j]
-        words.append(word)
-    for word in reversed(words):
-        order = order[np.argsort(word[order], kind="stable")]
-    same = np.ones(len(order), bool)
-    for word in words:
-        w = word[order]
-        same[1:] &= w[1:] == w[:-1]
-    same[0] = False
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    earlier = least[owner[order[head]]] < least[owner[order]]
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    bits = np.zeros(len(texts), np.uint64)
-    hit = order[earlier]
-    np.bitwise_or.at(bits, owner[hit], np.uint64(1) << place[hit].astype(np.uint64))
+        rows = np.flatnonzero(~new | ~np.append(new[1:], True))
+        word = words[begin[order[rows]] + min(a, length - 8)].byteswap()
+        run = np.cumsum(new)[rows]
+        by = np.lexsort((word, run)) if a else np.argsort(word)
+        order[rows], word = order[rows][by], word[by]
+        new[rows[1:]] |= word[1:] != word[:-1]
+    first = np.flatnonzero(new)
+    smallest = np.repeat(np.minimum.reduceat(least[owner[order]], first), np.diff(first, append=len(order)))
+    hit = order[smallest < least[owner[order]]]
+    bits = np.zeros(len(start), np.uint64)
+    np.bitwise_or.at(bits, owner[hit], np.uint64(1) << (begin[hit] - start[owner[hit]]).astype(np.uint64))
     return bits
 
 
@@ -271,29 +326,24 @@ def _answer(length: int):
         for data in blobs.column("data").to_pylist():
             cut = 4 + int.from_bytes(data[:4], "big")
             delta, doc, size = _unpack(data[4:cut], np.uint64, np.int64, np.uint8)
-            body = zstandard.ZstdDecompressor().decompress(data[cut:])
-            ends = np.cumsum(size, dtype=np.int64)
-            texts.extend(body[b - n : b] for b, n in zip(ends.tolist(), size.tolist()))
+            texts.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(data[cut:]), np.uint8))
             hashes.append(np.cumsum(delta, dtype=np.uint64))
             least.append(doc)
-            sizes.append(len(doc))
-        m, doc = np.concatenate(hashes), np.concatenate(least)
-        names: dict[bytes, int] = {}
-        at = np.fromiter((names.setdefault(t, len(names)) for t in texts), np.int64, len(texts))
-        first = np.full(len(names), np.iinfo(np.int64).max)
-        np.minimum.at(first, at, doc)
-        hash_of = np.zeros(len(names), np.uint64)
-        hash_of[at] = m
-        bits = np.zeros(len(names), np.uint64)
-        order = np.argsort(hash_of, kind="stable")
-        new = np.r_[True, hash_of[order][1:] != hash_of[order][:-1]]
-        size = np.bincount(np.cumsum(new) - 1)
-        mixed = order[(size > 1)[np.cumsum(new) - 1]]  # hashes with different strands
+            sizes.append(size.astype(np.int64))
+        m, doc, size, flat = (np.concatenate(x) for x in (hashes, least, sizes, texts))
+        start = np.cumsum(size) - size
+        order, new = _alike(flat, start, size, m)
+        at = np.empty(len(order), np.int64)
+        at[order] = np.cumsum(new) - 1
+        heads = np.flatnonzero(new)
+        first, one = np.minimum.reduceat(doc[order], heads), order[heads]
+        hash_of, bits = m[one], np.zeros(len(one), np.uint64)
+        same = hash_of[1:] == hash_of[:-1]
+        mixed = np.flatnonzero(np.append(False, same) | np.append(same, False))  # hashes with different strands
         if len(mixed):
-            every = list(names)
-            bits[mixed] = _previous([every[i] for i in mixed.tolist()], first[mixed], length)
+            bits[mixed] = _previous(flat, start[one[mixed]], size[one[mixed]] - length + 1, first[mixed], length)
         rows, cut = [], 0
-        for block, n in zip(blocks, sizes):
+        for block, n in zip(blocks, map(len, sizes)):
             own = at[cut : cut + n]
             rows.append((bucket, block, _pack(first[own], bits[own])))
             cut += n
@@ -302,6 +352,22 @@ def _answer(length: int):
     return run
 
 
+def _runs(own: _Strands, first: np.ndarray, bits: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, stop) of the bytes under repeated windows; runs that touch within a text are one."""
+    whole = own.ids[own.which] > first[own.at]
+    some = np.flatnonzero(~whole & (bits[own.at] > 0))
+    flags = np.unpackbits(bits[own.at[some]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _STRAND // 8], axis=1, bitorder="little")
+    row, place = np.nonzero(flags)
+    row = some[row]
+    begin = np.r_[own.start[whole], own.start[row] + place]
+    end = np.r_[(own.start + own.count)[whole], own.start[row] + place + 1] + length - 1
+    which = np.r_[own.which[whole], own.which[row]]
+    order = np.argsort(begin)
+    begin, end, which = begin[order], end[order], which[order]
+    new = np.flatnonzero(np.append(True, (begin[1:] > end[:-1]) | (which[1:] != which[:-1]))[: len(begin)])
+    return which[new], begin[new], end[np.append(new[1:], len(end))[: len(new)] - 1]
+
+
 def _spans(length: int, buckets: int):
     """Pass 3: removed spans of every document of a block."""
 
@@ -313,32 +379,22 @@ def _spans(length: int, buckets: int):
         own = _Strands(docs, _hashes(replies), length)
         first, bits = np.zeros(len(own.hash), np.int64), np.zeros(len(own.hash), np.uint64)
         answers = dict(_of_block(replies, 2))
-        for bucket, p in _deal(own.hash, buckets) if len(own.hash) else []:
+        for bucket, p in _deal(own.hash, buckets):
             first[p], bits[p] = _unpack(answers[bucket], np.int64, np.uint64)
-        whole = own.ids[own.which] > first[own.at] if len(own.at) else np.zeros(0, bool)
-        some = np.flatnonzero(whole | (bits[own.at] > 0)) if len(own.at) else np.zeros(0, np.int64)
-        edges = np.searchsorted(own.which[some], np.arange(len(own.texts) + 1))
-        spans, kept = [], []
-        for i, data in enumerate(own.texts):
-            rows = some[edges[i] : edges[i + 1]]
-            lost = np.zeros(len(data) + 1, np.int32)
-            full = rows[whole[rows]]
-            np.add.at(lost, own.start[full], 1)
-            np.add.at(lost, own.start[full] + own.count[full] + length - 1, -1)
-            for r in rows[~whole[rows]].tolist():
-                mask, a = int(bits[own.at[r]]), int(own.start[r])
-                while mask:
-                    low = (mask & -mask).bit_length() - 1
-                    run_ = ((mask >> low) + 1 & ~(mask >> low)).bit_length() - 1  # neighbouring windows at once
-                    lost[a + low] += 1
-                    lost[a + low + run_ + length - 1] -= 1
-                    mask &= ~(((1 << run_) - 1) << low)
-            gone = np.cumsum(lost[:-1]) > 0
-            turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-            spans.append([{"start": a, "stop": b} for a, b in turn.reshape(-1, 2).tolist()])
-            kept.append(data[~gone].tobytes())
-        sizes = pa.array([len(t) for t in own.texts], pa.int64())
-        return pa.table([docs.column("doc"), sizes, pa.array(spans, pa.list_(kind)), pa.array(kept, pa.binary())], schema=schema)
+        which, begin, end = _runs(own, first, bits, length)
+        turn = np.zeros(len(own.flat) + 1, np.int8)
+        turn[begin] = 1
+        turn[end] -= 1  # a run may begin where the text before ends with one
+        stays = np.cumsum(turn[:-1], dtype=np.int8) == 0
+        text = np.arange(len(own.ids) + 1)
+        lost = np.append(0, np.cumsum(end - begin))[np.searchsorted(which, text)]
+        parts = [pa.array(x - own.edges[which], pa.int64()) for x in (begin, end)]
+        spans = pa.ListArray.from_arrays(
+            pa.array(np.searchsorted(which, text), pa.int32()), pa.StructArray.from_arrays(parts, fields=list(kind))
+        )
+        offsets = pa.array(own.edges - lost, pa.int32())
+        kept = pa.Array.from_buffers(pa.binary(), len(own.ids), [None, offsets.buffers()[1], pa.py_buffer(own.flat[stays])])
+        return pa.table([docs.column("doc"), pa.array(np.diff(own.edges)), spans, kept], schema=schema)
 
     return run
 
