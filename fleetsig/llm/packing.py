@@ -16,9 +16,10 @@ import heapq
 import os
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import cycle
+from itertools import cycle, islice
 from unicodedata import is_normalized
 
 import numpy as np
@@ -27,16 +28,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetsig.llm.shared import materialise
+from fleetsig.llm.shared import materialise, spread
 
 WINDOWS = 128
 GRAINS = (32, 128, 16, 32, 64, 8, 32, 16, 64, 32, 8)  # 432 tokens for four windows
 GRAIN_SHARE = 108 / 2048
 BUNDLE = 32  # shorter texts are bundled up to this, which bounds the partitions of a group
 _BYTES = 1 << 20
-_KNOWN = 600_000  # words whose ids a task remembers
-# runs of marks between letters, digits and spaces; neither apostrophes nor the marks of special tokens
-_MARKS = re.compile(r"(?<![^\w\s]|_)[.,;:!?\"()\[\]{}*&$%#@~^=+/-]+(?![^\w\s]|_)")
+_KNOWN = 600_000  # words whose ids a Python worker remembers
+# runs of marks between letters, digits and spaces; neither apostrophes nor the marks of special tokens (what stands before is
+# looked at after the first mark, as a pattern that begins with a set of characters is searched faster)
+_MARK = r"[.,;:!?\"()\[\]{}*&$%#@~^=+/-]"
+_MARKS = re.compile(rf"{_MARK}(?<![^\w\s].)(?<!_.){_MARK}*(?![^\w\s]|_)", re.DOTALL)
 _NO_SPACE = re.compile("[\x1c-\x1f]")  # str.split cuts at these, the tokenizer does not
 
 
@@ -52,33 +55,58 @@ def _ids(found) -> bytes:
     return np.array(found.ids, "<u4").tobytes()
 
 
+def _grown(store: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
+    """``store``, of which ``n`` are in use, with ``more`` after them."""
+    if n + len(more) > len(store):
+        store = np.concatenate([store[:n], np.zeros(n + 2 * len(more), store.dtype)])
+    store[n : n + len(more)] = more
+    return store
+
+
 class Encoder:
     """Ids of texts as little-endian bytes; with ``by_word`` each word between white space is encoded once."""
 
     def __init__(self, path: str, by_word: bool):
         self.tokenizer, self.by_word = _tokenizer(path), by_word
-        self.known: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab() if by_word else {}
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: defaultdict[str, int] = defaultdict()  # numbers of the words, in order of appearance
+        self.known.default_factory = self.known.__len__
+        self.ids, self.stops, self.learned = np.zeros(0, "<u4"), np.zeros(1, np.int64), 0
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [_ids(x) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words_of_letters(self, words: list[str]) -> list[bytes]:
         """Words of letters only, encoded as lines of many; the last id of each word is marked as its end."""
-        out = []
-        for at in range(0, len(words), 500):
-            some = words[at : at + 500]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some) and stops[-1] == len(ids):
-                whole, edges = ids.tobytes(), [0, *(4 * stops).tolist()]
-                out += [whole[a:b] for a, b in zip(edges, edges[1:])]
+        lines, out = [words[at : at + 500] for at in range(0, len(words), 500)], []
+        for some, found in zip(lines, self.direct([" ".join(x) for x in lines])):
+            stops = np.flatnonzero(self.ends[np.frombuffer(found, "<u4")]) + 1
+            if len(stops) == len(some) and 4 * stops[-1] == len(found):
+                edges = [0, *(4 * stops).tolist()]
+                out += [found[a:b] for a, b in zip(edges, edges[1:])]
             else:
                 out += self.direct(some)
         return out
 
+    def _learn(self) -> None:
+        """Ids of the words that have a number but no ids yet."""
+        new = list(islice(reversed(self.known), len(self.known) - self.learned))[::-1]
+        if not new:
+            return
+        letters = [w.isalpha() for w in new]
+        plain = iter(self._words_of_letters([w for w, ok in zip(new, letters) if ok]))
+        rest = iter(self.direct([w for w, ok in zip(new, letters) if not ok]))
+        found = [next(plain if ok else rest) for ok in letters]
+        used, sizes = self.stops[self.learned], np.array([len(x) // 4 for x in found], np.int64)
+        self.ids = _grown(self.ids, used, np.frombuffer(b"".join(found), "<u4"))
+        self.stops = _grown(self.stops, self.learned + 1, used + np.cumsum(sizes))
+        self.learned += len(new)
+
     def _words(self, text: str) -> list[str] | None:
         """Parts whose ids make up those of the text: words, and runs of marks that stand alone beside them."""
         if _NO_SPACE.search(text):
@@ -90,20 +118,32 @@ class Encoder:
             return text.split()
         return _MARKS.sub(r" \g<0> ", folded).split()
 
+    def _numbers(self, text: str) -> np.ndarray | None:
+        """Numbers of the parts of a text; new ones are given out."""
+        parts = self._words(text)
+        return None if parts is None else np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         if not self.by_word:
             yield from self.direct(texts)
             return
-        if len(self.known) > _KNOWN:
-            self.known.clear()
-        split = [self._words(t) for t in texts]
-        new = set().union(*filter(None, split)).difference(self.known)
-        words = list(filter(str.isalpha, new))
-        rest = list(new.difference(words))
-        self.known.update(zip(words, self._words_of_letters(words)))
-        self.known.update(zip(rest, self.direct(rest)))
-        for text, parts in zip(texts, split):
-            yield b"".join(map(self.known.__getitem__, parts)) if parts is not None else self.direct([text])[0]
+        if len(self.known) > _KNOWN or len(self.known) != self.learned:  # the latter after a failure
+            self._forget()
+        numbers = [self._numbers(t) for t in texts]
+        self._learn()
+        word = np.concatenate([np.zeros(0, np.int64), *(x for x in numbers if x is not None)])
+        start = self.stops[word]
+        size = self.stops[word + 1] - start
+        ids = self.ids[spread(start, size)].tobytes()
+        ends = 4 * np.append(0, np.cumsum(size))[np.cumsum([0, *(0 if x is None else len(x) for x in numbers)])]
+        for text, own, a, b in zip(texts, numbers, ends[:-1].tolist(), ends[1:].tolist()):
+            yield ids[a:b] if own is not None else self.direct([text])[0]
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str, by_word: bool) -> Encoder:
+    """One for all tasks of a Python worker, as most words of a task were met in those before."""
+    return Encoder(path, by_word)
 
 
 def _token_ids(texts: pa.Array, encoder: Encoder) -> Iterator[np.ndarray]:
@@ -242,7 +282,7 @@ def pack(
     names = ["key", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, by_word)
+        encoder = _encoder(path, by_word)
         for part in batches:
             # lengths and ids go side by side: a text's cuts depend on the lengths before it only
             ahead: list[np.ndarray] = []

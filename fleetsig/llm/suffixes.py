@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetsig.llm.blocks import as_bytes, block_of, count_blocks
-from fleetsig.llm.shared import materialise, width
+from fleetsig.llm.shared import materialise, spread, width
 
 LENGTH = 50
 _PIECE = 24
@@ -259,12 +259,6 @@ class _Strands:
         self.least = np.minimum.reduceat(self.ids[self.which[order]], first) if len(first) else np.zeros(0, np.int64)
 
 
-def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """All positions of runs, one run after the other."""
-    ends = np.cumsum(size)
-    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-
-
 def _of_block(replies: pa.Table, kind: int) -> list[tuple[int, bytes]]:
     picked = [k == kind for k in replies.column("kind").to_pylist()]
     pairs = zip(replies.column("bucket").to_pylist(), replies.column("data").to_pylist(), picked)
@@ -286,7 +280,7 @@ def _send(length: int, buckets: int):
         rows = []
         for bucket, p in _deal(own.hash, buckets):
             head = _pack(np.diff(own.hash[p], prepend=np.uint64(0)), own.least[p], own.size[p].astype(np.uint8))
-            body = zstandard.ZstdCompressor(level=1).compress(own.flat[_spread(own.begin[p], own.size[p])].tobytes())
+            body = zstandard.ZstdCompressor(level=1).compress(own.flat[spread(own.begin[p], own.size[p])].tobytes())
             rows.append((bucket, block, len(head).to_bytes(4, "big") + head + body))
         return _blobs(rows)
 
@@ -300,7 +294,7 @@ def _previous(flat: np.ndarray, start: np.ndarray, counts: np.ndarray, least: np
     window's previous smaller position with a common prefix of ``length`` is the one of the smallest id in its run, if that is
     smaller than its own.
     """
-    begin, owner, words = _spread(start, counts), np.repeat(np.arange(len(start)), counts), _words(flat)
+    begin, owner, words = spread(start, counts), np.repeat(np.arange(len(start)), counts), _words(flat)
     order, new = np.arange(len(begin)), np.arange(len(begin)) == 0
     for a in range(0, length, 8):
         rows = np.flatnonzero(~new | ~np.append(new[1:], True))

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from cases import ROWS, documents
 from tokenizers import Tokenizer
@@ -94,3 +95,32 @@ def test_words_give_the_ids_of_whole_texts():
     letters = list("aAsStT'’.,_-<|>eé́ΣσİǰΐK1²½Ⅳ \t\n\x1c\x85€…()\"dक़​汉한👍") + ["<|endoftext|>", "<|ENDOFTEXT|>", "'re", "..."]
     texts = ["".join(rng.choice(letters, rng.integers(0, 20))) for _ in range(6000)]
     assert list(by_word.encode(texts)) == list(whole.encode(texts)) == list(by_word.encode(texts))
+
+
+def test_a_word_is_encoded_once_for_all_tasks_of_a_worker(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    packing._encoder.cache_clear()
+    whole, asked = packing.Encoder(path, False), []
+    direct = packing.Encoder.direct
+    texts = ["river, hill; (stone) ab12", "Stone river... ab12", None, "", "ΣΑΣ river"]
+    for task in range(3):
+        encoder = packing._encoder(path, True)
+        monkeypatch.setattr(encoder, "direct", lambda some: asked.extend(some) or direct(encoder, some))
+        found = list(packing._token_ids(pa.array(texts), encoder))
+        assert [x.tobytes() for x in found] == list(whole.encode([t or "" for t in texts]))
+        assert "river" in " ".join(asked) if task == 0 else not asked
+        asked.clear()
+    packing._encoder.cache_clear()
+
+
+def test_forgetting_words_and_failing_change_no_ids(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, encoder = packing.Encoder(path, False), packing.Encoder(path, True)
+    monkeypatch.setattr(packing, "_KNOWN", 7)
+    for i in range(12):
+        texts = [f"one w{i} two.{i} " + "abc" * (i % 4), f"{chr(97 + i)}x one, <|endoftext|>"]
+        if i % 4 == 2:
+            with monkeypatch.context() as broken, pytest.raises(OSError):
+                broken.setattr(encoder, "direct", lambda some: (_ for _ in ()).throw(OSError()))
+                list(encoder.encode(["unseen words " + texts[0]]))
+        assert list(encoder.encode(texts)) == list(whole.encode(texts))
